@@ -126,6 +126,8 @@ class BpeCodec:
         tokens = [i for i in ids.values() if len(self.bytes_of[i]) == 1 or self.rank[i] >= 0]
         self.automaton = SuffixAutomaton([self.bytes_of[i] for i in tokens])
         self.token = [tokens[k] if k >= 0 else -1 for k in self.automaton.whole]
+        #: Where the longest token ends that is a whole match of a state, or else of the states above it.
+        self.whole = [u if t >= 0 else self.automaton.up[u] for u, t in enumerate(self.token)]
         self._fit: dict[int, bool] = {}
         self._pretokens: dict[str, tuple[bytes, bytes]] = {}
         self._spaced: dict[str, tuple[bytes, bytes]] = {}
@@ -163,7 +165,7 @@ class BpeCodec:
         """Ids of pre-tokens.  In sorted order neighbours share prefixes, whose rows of the dynamic program are kept."""
         sam, token, fit, known = self.automaton, self.token, self.compatible, self._fit
         nxt, link, length, up = sam.next, sam.link, sam.length, sam.up
-        whole = [u if t >= 0 else up[u] for u, t in enumerate(token)]
+        whole = self.whole
         last, back, at, run = [0], [0], [0], [0]  # by prefix: last token and its length; state and length of the match
         out, before = [], b""
         for data in many:
