@@ -357,7 +357,7 @@ def roundtrip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
         c = codec(path)
         for b in batches:
             for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 1000)
+                part = b.slice(at, 2000)
                 texts = part.column(text).to_pylist()
                 c.prime(texts)
                 got = [c.encode_parts(t) for t in texts]
