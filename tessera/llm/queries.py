@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, licenses, quality, shared, token_store
+from tessera.llm import bpe, decontam, licenses, quality, secret_scan, shared, token_store, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +34,17 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir), BYTE_BPE)
 
 
+def op2_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    crf = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, crf).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.findings(documents(spark, sf_dir), secret_scan.train(spark))
+    return found.select("doc_id", "start_char", "end_char", F.sha2("secret", 256).alias("secret_sha256"), "score")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
@@ -44,6 +55,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_toxic_spans": op2_toxic_spans,
+    "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
     "op10_license_scan": op10_license_scan,
     "op7_decontamination": op7_decontamination,
