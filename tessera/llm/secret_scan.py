@@ -44,7 +44,7 @@ def features(secret: Column, left: Column, right: Column) -> list[Column]:
     """The forest's features of a candidate with the text before and behind it, as doubles."""
     n = F.greatest(F.char_length(secret), F.lit(1)).cast("double")
     classes = F.regexp_replace(F.translate(F.translate(F.translate(secret, string.ascii_lowercase, "a" * 26), string.ascii_uppercase, "A" * 26), string.digits, "0" * 10), r"(.)\1+", "$1")
-    low, near = F.lower(secret), F.lower(F.concat(F.substring_index(left, "\n", -1), F.lit(" "), F.substring_index(right, "\n", 1)))
+    low, near = F.lower(secret), F.lower(F.right(F.substring_index(left, "\n", -1), F.lit(28)))
     yes = lambda c: F.when(c, 1.0).otherwise(0.0)
     return [
         n,
@@ -94,6 +94,8 @@ def labelled_findings(n: int = 600, seed: int = 7) -> list[tuple[str, str, str,
                 lambda: ('api_key = "', r.choice(["your-api-key-here-", "example_token_value_", "test-secret-key-file-"]) + str(r.randint(1, 9999))),
                 lambda: (word(2) + " ", f"{r.choice(['report', 'build', 'image', 'release'])}_{word()}_version_{r.randint(1, 9)}.{r.randint(1, 99)}"),
                 lambda: (word(4) + " ", word().replace(" ", "") * 3 + str(r.randint(1, 9)) + "." + word()),
+                lambda: ("auth token lost, call ", pick(string.digits, 16)),
+                lambda: (word(3) + " token ", f"{word()}.{r.randint(1, 99)}@mail{r.randint(1, 9)}.example.com"),
                 lambda: ("token = ", "x" * r.randint(15, 30) + "1"),
                 lambda: (word(3) + " ", "0" * r.randint(10, 20) + "1" * 8),
             ])()
