@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, licenses, neardup, quality, secret_scan, shared, token_store, toxicity
+from tessera.llm import bpe, decontam, katz, licenses, neardup, quality, secret_scan, shared, substring, token_store, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +40,14 @@ def op2_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, crf).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
 
 
+def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(documents(spark, sf_dir))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(documents(spark, sf_dir)).drop("removed")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.findings(documents(spark, sf_dir), secret_scan.train(spark))
     return found.select("doc_id", "start_char", "end_char", F.sha2("secret", 256).alias("secret_sha256"), "score")
@@ -60,6 +68,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_toxic_spans": op2_toxic_spans,
+    "op3_katz_backoff": op3_katz_backoff,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
     "op9_near_duplicates": op9_near_duplicates,
