@@ -20,7 +20,7 @@ documents and repeated items each give their rows; empty tables give an empty re
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -164,6 +164,21 @@ def _index(ids: tuple, texts: tuple) -> ItemIndex:
     return ItemIndex(list(ids), list(texts))
 
 
+def _found(index: ItemIndex, texts: pa.Array) -> dict[int, list[tuple[int, int, int, int, float]]]:
+    """For each row of a column with matches: (item, start word, words, distance, similarity)."""
+    h, first = _words(texts)
+    starts = window_starts(first, SHINGLE)
+    at = starts[index.hits(window_hashes(h, SHINGLE)[starts])] if len(starts) else starts
+    doc = np.searchsorted(first, at, side="right") - 1
+    places = {int(d): at[doc == d] - first[d] for d in np.unique(doc)}
+    size = np.diff(first)
+    for d in np.flatnonzero((size > 0) & (size < SHINGLE)):
+        if len(index.hits(_shingles(h[first[d] : first[d + 1]]))):
+            places[int(d)] = np.zeros(1, np.int64)
+    got = {d: index.match(h[first[d] : first[d + 1]], p) for d, p in sorted(places.items())}
+    return {d: m for d, m in got.items() if m}
+
+
 def _one_block(docs: DataFrame, rows: list[tuple[int, str | None]]) -> DataFrame:
     ids, texts = tuple(r[0] for r in rows), tuple(r[1] for r in rows)
 
@@ -171,39 +186,44 @@ def _one_block(docs: DataFrame, rows: list[tuple[int, str | None]]) -> DataFrame
         index = _index(ids, texts)
         for whole in batches:
             for b in pieces(whole, "text"):
-                h, first = _words(b.column("text"))
-                places = index.hits(window_hashes(h, SHINGLE)[window_starts(first, SHINGLE)])
-                at = window_starts(first, SHINGLE)[places]
-                doc = np.searchsorted(first, at, side="right") - 1
-                found = {int(d): at[doc == d] - first[d] for d in np.unique(doc)}
-                size = np.diff(first)
-                for d in np.flatnonzero((size > 0) & (size < SHINGLE)):
-                    if len(index.hits(_shingles(h[first[d] : first[d + 1]]))):
-                        found[int(d)] = np.zeros(1, np.int64)
                 keys = b.column("doc_id")
-                out = [(keys[d].as_py(), ids[i], s, n, x, sim) for d, p in sorted(found.items()) for i, s, n, x, sim in index.match(h[first[d] : first[d + 1]], p)]
+                out = [(keys[d].as_py(), ids[i], *rest) for d, found in _found(index, b.column("text")).items() for i, *rest in found]
                 cols = list(zip(*out, strict=True)) if out else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.int32(), pa.float64()], strict=True)], names=["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"])
 
     return docs.mapInArrow(run, SCHEMA)
 
 
+def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, str | None]]]:
+    """Items in blocks of at most ITEMS, the bound of what is sent to executors at once."""
+    block: list[tuple[int, str | None]] = []
+    for row in items.select(F.col(key).cast("bigint"), F.col(text)).toLocalIterator():
+        block.append((row[0], row[1]))
+        if len(block) == ITEMS:
+            yield block
+            block = []
+    yield block
+
+
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The best window of each document for each item that it holds: doc_id, item_id, start_word, n_words, distance, similarity."""
     d = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    asked = items.select(F.col(item_key).cast("bigint").alias("i"), F.col(item_text).alias("t"))
-    out, block = None, []
-    for row in asked.toLocalIterator():
-        block.append((row.i, row.t))
-        if len(block) == ITEMS:
-            out = _one_block(d, block) if out is None else out.unionByName(_one_block(d, block))
-            block = []
-    if block or out is None:
-        out = _one_block(d, block) if out is None else out.unionByName(_one_block(d, block))
-    return out
+    parts = [_one_block(d, block) for block in item_blocks(items, item_key, item_text)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows that hold no item, with all their columns; one pass for each block of items, no join."""
+    for block in item_blocks(items, item_key, item_text):
+        ids, texts = tuple(r[0] for r in block), tuple(r[1] for r in block)
 
+        def run(batches: Iterator[pa.RecordBatch], ids: tuple = ids, texts: tuple = texts) -> Iterator[pa.RecordBatch]:
+            index = _index(ids, texts)
+            for whole in batches:
+                for b in pieces(whole, text):
+                    keep = np.ones(b.num_rows, bool)
+                    keep[list(_found(index, b.column(text)))] = False
+                    yield b.filter(pa.array(keep))
 
-def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Documents that hold no item; all columns stay as they are."""
-    bad = matches(docs, items, key=key).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[key] == bad["_bad"], "left_anti")
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
