@@ -24,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as the tokenizers library sees it (fixed value: Unicode's White_Space).
 _S = r"\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -311,7 +312,7 @@ def _free(df: DataFrame, *names: str) -> None:
 def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
     """Adds array<int> column `into` with the ids of column `text`; all other columns stay as they are."""
     _free(docs, into)
-    schema = docs.schema.add(into, "array<int>")
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -334,7 +335,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
 def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Adds string column `into` with the text of array column `ids` (null: "")."""
     _free(docs, into)
-    schema = docs.schema.add(into, "string")
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
