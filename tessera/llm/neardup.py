@@ -286,8 +286,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     members.write.parquet(f"{at}/members")
     members = spark.read.parquet(f"{at}/members")
     sized = members.join(members.groupBy("grp").agg(F.count("*").alias("n")), "grp").select("grp", "n", F.col("node").alias("rep"))
-    # A repeated id gives one text.
-    texts = src.join(sized, src["doc_id"] == sized["rep"]).dropDuplicates(["rep"])
+    # A repeated id gives one text.  The members have no bound, so that the join is a merge join at every size.
+    texts = src.join(sized.hint("merge"), src["doc_id"] == sized["rep"]).dropDuplicates(["rep"])
     roots = components(confirmed_edges(texts.select("grp", "n", "rep", "text"), k, similar))
     # Few representatives have a root other than themselves; equal sets then share their representative's.
     moved = reps.select(*on, "rep").join(roots, F.col("rep") == F.col("node"), "left").select(*on, F.coalesce("root", "rep").alias("component_id"))
