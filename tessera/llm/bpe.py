@@ -304,14 +304,9 @@ def codec(path: str) -> BpeCodec:
     return BpeCodec(path)
 
 
-def _free(df: DataFrame, *names: str) -> None:
-    if taken := set(df.columns) & set(names):
-        raise ValueError(f"the table already has columns {sorted(taken)}")
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """Adds array<int> column `into` with the ids of column `text`; all other columns stay as they are."""
-    _free(docs, into)
+    """Adds array<int> column `into` with the ids of column `text`, in place of one of that name; all other columns stay as they are."""
+    docs = docs.drop(into)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,8 +328,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """Adds string column `into` with the text of array column `ids` (null: "")."""
-    _free(docs, into)
+    """Adds string column `into` with the text of array column `ids` (null: ""), in place of one of that name."""
+    docs = docs.drop(into)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -124,7 +124,7 @@ def without_common_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     src = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.col(host), F.lit("")).alias("_host")).withColumn("_mark", F.xxhash64("_text"))
     uses = line_uses(src)
     bad = uses.join(common_lines(src, uses, max_docs, max_share), ["_host", "line"], "left_semi").groupBy("_id", "_mark", "_host").agg(F.collect_set("line").alias("_bad"))
-    t, h = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(host), F.lit(""))
-    on = F.col(key).eqNullSafe(bad["_id"]) & (F.xxhash64(t) == bad["_mark"]) & (h == bad["_host"])
-    keep = F.concat_ws("\n", F.filter(F.split(t, "\n"), lambda x: ~F.array_contains("_bad", F.xxhash64(normalised(x)))))
-    return docs.join(bad, on, "left").select(*[docs[c] for c in docs.columns], F.when(F.col("_bad").isNull(), F.col(text)).otherwise(keep).alias("cleaned"))
+    t, h = F.coalesce(docs[text], F.lit("")), F.coalesce(docs[host], F.lit(""))
+    on = docs[key].eqNullSafe(bad["_id"]) & (F.xxhash64(t) == bad["_mark"]) & (h == bad["_host"])
+    keep = F.concat_ws("\n", F.filter(F.split(t, "\n"), lambda x: ~F.array_contains(bad["_bad"], F.xxhash64(normalised(x)))))
+    return docs.join(bad, on, "left").select(*[docs[c] for c in docs.columns], F.when(bad["_bad"].isNull(), docs[text]).otherwise(keep).alias("cleaned"))

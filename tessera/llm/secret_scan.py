@@ -191,16 +191,21 @@ def judged(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
 def findings(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """A row per secret: key, start_char, end_char, secret, score."""
     d = judged(docs.select(key, text), forest, text).filter("_found is not null")
-    each = d.select(key, "_parts", "_found", F.posexplode("_found").alias("i", "f")).filter(F.col("f.score") >= threshold)
-    before = F.char_length(F.array_join(F.slice("_parts", 1, F.col("i") + 1), "")) + F.char_length(F.array_join(F.slice(F.col("_found.secret"), 1, F.col("i")), ""))
-    each = _barrier(each, start_char=before.cast("long"))
-    return each.select(key, "start_char", (F.col("start_char") + F.char_length("f.secret")).alias("end_char"), F.col("f.secret").alias("secret"), F.col("f.score").alias("score"))
+    # Place by place rather than by exploding the array: Spark's pruning of nested fields through generators loses columns here.
+    each = d.select(key, "_parts", F.transform("_found", lambda f: f["secret"]).alias("_s"), F.transform("_found", lambda f: f["score"]).alias("_p"))
+    each = each.withColumn("_i", F.explode(F.sequence(F.lit(1), F.size("_s")))).filter(F.element_at("_p", F.col("_i")) >= threshold)
+    before = F.char_length(F.array_join(F.slice("_parts", 1, F.col("_i")), "")) + F.char_length(F.array_join(F.slice("_s", 1, F.col("_i") - 1), ""))
+    each = _barrier(each, start_char=before.cast("long"), secret=F.element_at("_s", F.col("_i")), score=F.element_at("_p", F.col("_i")))
+    return each.select(key, "start_char", (F.col("start_char") + F.char_length("secret")).alias("end_char"), "secret", "score")
 
 
 def redact(docs: DataFrame, forest: Forest, text: str = "text", threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
     """The table with each secret in `text` replaced by `mark`; all other text and columns stay as they are."""
-    d = judged(docs, forest, text)
+    # Columns go by their places meanwhile, so that none can clash.
+    names = docs.columns
+    t = f"__{names.index(text)}"
+    d = judged(docs.toDF(*[f"__{i}" for i in range(len(names))]), forest, t)
     swapped = F.transform("_found", lambda f: F.when(f["score"] >= threshold, F.lit(mark)).otherwise(f["secret"]))
     whole = F.concat(F.array_join(F.zip_with(F.slice("_parts", 1, F.size("_found")), swapped, lambda a, b: F.concat(a, b)), ""), F.element_at("_parts", -1))
-    hit = F.exists("_found", lambda f: f["score"] >= threshold)
-    return d.select(*[F.when(F.coalesce(hit, F.lit(False)), whole).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns])
+    hit = F.coalesce(F.exists("_found", lambda f: f["score"] >= threshold), F.lit(False))
+    return d.select(*[F.when(hit, whole).otherwise(F.col(t)).alias(c) if c == text else F.col(f"__{i}").alias(c) for i, c in enumerate(names)])

@@ -152,7 +152,10 @@ def fit(texts: list[str | None], toxic: np.ndarray, iterations: int = ITERATIONS
     toxic = toxic.astype(bool)
     h, first, *_ = tokens(pa.array(texts, pa.string()))
     share = float(toxic.mean()) if len(toxic) else 0.0
-    lex = choose_lexicon(h, first, toxic) if 0 < share < 1 and len(h) else np.zeros(0, U64)
+    # Copies of one text are one observation.
+    once = sorted({t: i for i, t in reversed(list(enumerate(texts)))}.values())
+    h1, first1, *_ = tokens(pa.array([texts[i] for i in once], pa.string()))
+    lex = choose_lexicon(h1, first1, toxic[once]) if 0 < share < 1 and len(h) else np.zeros(0, U64)
     crf = Crf(lex, np.zeros(len(lex)), np.zeros(4), np.zeros((2, 2)), np.zeros(4))
     crf.other[0] = -3.0
     f = crf.features(h, first)
