@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontam, katz, licenses, neardup, quality, secret_scan, shared, substring, token_store, toxicity
+from tessera.llm.oracle import ORACLE_SQL
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -78,7 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_roundtrip": op8_bpe_roundtrip,
 }
 
-#: DuckDB SQL of the queries that SQL expresses.
-ORACLE_SQL: dict[str, str] = {}
-
-__all__ = ["ORACLE_SQL", "QUERIES", "F"]
+__all__ = ["ORACLE_SQL", "QUERIES"]
