@@ -397,6 +397,26 @@ def lla_to_enu(spark, sf):
     return d.select("event_id", r6(e, "east", 4), r6(n, "north", 4), r6(u, "up", 4))
 
 
+def _gnss_sql() -> str:
+    x, o = _ecef_sql("lat", "lon", "alt"), _ecef_sql("lat0", "lon0", "alt0")
+    return f"""WITH {_STREAMS}, g AS (SELECT event_id, user_id, t, 45 + value/10000 AS lat, 9 + k/1000 AS lon, 100 + k AS alt, 1 + k AS v FROM streams),
+    r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn FROM g),
+    o AS (SELECT user_id, sum(lat/v)/sum(1/v) AS lat0, sum(lon/v)/sum(1/v) AS lon0, sum(alt/v)/sum(1/v) AS alt0 FROM r WHERE rn <= 10 GROUP BY 1),
+    d AS (SELECT event_id, lat0, lon0, {x[0]} - {o[0]} AS dx, {x[1]} - {o[1]} AS dy, {x[2]} - {o[2]} AS dz FROM g JOIN o USING (user_id)),
+    e AS (SELECT event_id, -sin(radians(lon0))*dx + cos(radians(lon0))*dy AS east, -sin(radians(lat0))*cos(radians(lon0))*dx - sin(radians(lat0))*sin(radians(lon0))*dy + cos(radians(lat0))*dz AS north, cos(radians(lat0))*cos(radians(lon0))*dx + cos(radians(lat0))*sin(radians(lon0))*dy + sin(radians(lat0))*dz AS up FROM d)
+    SELECT event_id, round({math.cos(0.3)!r}*east - {math.sin(0.3)!r}*north, 3) AS wx, round({math.sin(0.3)!r}*east + {math.cos(0.3)!r}*north, 3) AS wy, round(up, 3) AS wz FROM e WHERE abs(east) <= 4000 AND abs(north) <= 4000 AND abs(up) <= 4000"""
+
+
+@query("gnss_trajectory", _gnss_sql())
+def gnss_trajectory(spark, sf):
+    """ST10, M17, F11, M19: origin of each recording, local frame, sanity gate, turned into the filter's frame."""
+    from tessera.plans import gnss
+
+    d = streams(spark, sf).select("event_id", "user_id", "t", (45 + F.col("value") / 10000).alias("lat"), (9 + F.col("k") / 1000).alias("lon"), (100 + F.col("k")).alias("alt"), *[(1 + F.col("k")).alias(f"var_{c}") for c in "enu"])
+    w = gnss.world(gnss.positions(d, "user_id", ["t", "event_id"], limit=4000.0), 0.3)
+    return w.select("event_id", *[r6(c, c, 3) for c in ("wx", "wy", "wz")])
+
+
 @query("lla_to_utm")
 def lla_to_utm(spark, sf):
     """UTM zone, easting and northing."""
