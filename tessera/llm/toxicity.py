@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.kernel import ALNUM_WORDS, LOWER, U64, doc_of, per_doc, pieces, span_hashes, text_buffer, word_spans
 
-TRAIN_DOCS, LEXICON, ITERATIONS, BLOCK = 4000, 2000, 30, 128
+TRAIN_DOCS, LEXICON, ITERATIONS, BLOCK = 2500, 2000, 30, 128
 
 
 def held_out(key: Column) -> Column:
@@ -143,7 +143,7 @@ def choose_lexicon(h: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.nd
     bad, good = np.bincount(at, y, len(words)), np.bincount(at, ~y, len(words))
     n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
     odds = np.log((bad + 0.5) / (n1 + 1)) - np.log((good + 0.5) / (n0 + 1))
-    sure = odds - 2 * np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
+    sure = odds - 2.5 * np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
     best = np.argsort(-sure, kind="stable")[:LEXICON]
     return np.sort(words[best[(sure[best] > 0.5) & (bad[best] >= 3)]])
 
