@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tessera.llm import shared
 from tessera.llm.kernel import U64
 
-#: Text of a block before compression, in bytes, as the Parquet writer counts.
-BLOCK_BYTES = 16 << 20
+#: Bytes of a block as the Parquet writer counts them (compressed pages), and bytes of text for each bucket.
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 ROWS = "kind string, block bigint, bucket int, payload binary"
 
 
@@ -71,10 +71,12 @@ class Blocks:
         files = sorted(self.spark.read.parquet(f"{self.uri}/rows").inputFiles())
         # Only the names of files are listed here; their row groups are counted by the executors.
         names = self.spark.createDataFrame([(i, f) for i, f in enumerate(files)], "file bigint, path string").repartitionById(max(1, len(files)), F.col("file").cast("int"))
-        names.mapInArrow(_row_groups, "block bigint, path string, part int").write.parquet(f"{self.uri}/blocks")
+        names.mapInArrow(_row_groups, "block bigint, path string, part int, bytes bigint").write.parquet(f"{self.uri}/blocks")
         self.table = self.spark.read.parquet(f"{self.uri}/blocks")
-        self.n = self.table.count()
-        self.n_buckets = 1 << max(3, (self.n - 1).bit_length() if self.n > 1 else 0)
+        size = self.table.agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).first()
+        self.table = self.table.drop("bytes")
+        # Buckets follow the size of the text, not the number of files it happens to lie in.
+        self.n, self.n_buckets = size.n, 1 << max(3, (-(-int(size.b or 0) // BUCKET_BYTES)).bit_length())
 
     def rows(self) -> DataFrame:
         """One row per block, each in a partition of its own as far as these go."""
@@ -88,7 +90,8 @@ def _row_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with fs.open_input_file(p) as f:
                 meta = pq.ParquetFile(f).metadata
                 n = [k for k in range(meta.num_row_groups) if meta.row_group(k).num_rows]
-            yield pa.RecordBatch.from_arrays([pa.array([i << 20 | k for k in n], pa.int64()), pa.array([path] * len(n), pa.string()), pa.array(n, pa.int32())], names=["block", "path", "part"])
+                sizes = [meta.row_group(k).total_byte_size for k in n]
+            yield pa.RecordBatch.from_arrays([pa.array([i << 20 | k for k in n], pa.int64()), pa.array([path] * len(n), pa.string()), pa.array(n, pa.int32()), pa.array(sizes, pa.int64())], names=["block", "path", "part", "bytes"])
 
 
 def read_block(path: str, part: int) -> pa.RecordBatch:
