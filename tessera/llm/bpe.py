@@ -34,7 +34,7 @@ PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_
 _PLAIN = re.compile("( ?[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]+)([.,!?;:#$%&*|\"()]*)\\Z")
 _RUN = re.compile(r"\s\s")
 #: Entries that a worker keeps at most in each of its caches; beyond, it starts anew.
-CACHE = 400_000
+CACHE = 250_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -154,7 +154,7 @@ class BpeCodec:
                 a_ends, a = rank[a], self.right[a]
             else:
                 b_ends, b = rank[b], self.left[b]
-        if len(self._fit) > 4 * CACHE:
+        if len(self._fit) > CACHE:
             self._fit.clear()
         self._fit[key] = fits
         return fits
