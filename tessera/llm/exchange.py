@@ -14,6 +14,7 @@ rows in the same order whatever happens to executors, and nothing of the text is
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,6 +84,12 @@ class Blocks:
         return self.table.repartition(max(1, self.n), "block")
 
 
+def release(blocks: Blocks) -> None:
+    """Lets Spark drop the shuffle files of finished passes now: it does so when its driver collects garbage, else only every half hour."""
+    gc.collect()
+    blocks.spark.sparkContext._jvm.System.gc()
+
+
 def _row_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

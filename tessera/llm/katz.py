@@ -152,6 +152,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
                     yield ex.arrow_rows(list(ex.requests(f"n{k}", block, g.keys[k], buckets, g.counts(k))))
 
     ex.merge(blocks.rows().mapInArrow(count, ex.ROWS), _Count()).write.parquet(f"{root}/counts")
+    ex.release(blocks)
     replies = spark.read.parquet(f"{root}/counts")
     stats = {k: np.zeros(_STATS) for k in range(1, order + 1)}
     # One short row per bucket and order.
@@ -179,6 +180,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
                 yield ex.arrow_rows(list(ex.requests(f"b{k - 1}", block, g.keys[k - 1][ask], buckets, np.bincount(context, p, size)[ask], np.bincount(context, q, size)[ask])))
 
     ex.merge(ex.by_block(replies, blocks).mapInArrow(weigh, ex.ROWS), _Backoff()).write.parquet(f"{root}/weights")
+    ex.release(blocks)
     both = replies.unionByName(spark.read.parquet(f"{root}/weights"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
