@@ -1,7 +1,8 @@
 """Katz backoff language model: Good-Turing discounted n-gram counts with exactly normalised backoff weights.
 
-P(w | h) = d(c) c(h w) / (c(h) + 1/2) if the n-gram h w is kept (seen at least MIN_COUNT times; once
-for single words), else b(h) P(w | h'), with h' one word shorter.  d(c) is the Good-Turing discount
+P(w | h) = d(c) c(h w) / (c(h) + 1/2) if the n-gram h w is kept (seen at least `min_count` times; once
+for single words), else b(h) P(w | h'), with h' one word shorter.  With min_count = 1, as in the
+registered query, each n-gram of the training texts is kept.  d(c) is the Good-Turing discount
 of counts up to 5.  The half count leaves mass for backing off even where no count is discounted.
 b(h) is (1 - sum of P(w | h)) / (1 - sum of P(w | h')) over the kept w, so that each distribution
 sums to 1 over the V known tokens and one unknown token; the unknown token gets the mass that
@@ -116,8 +117,8 @@ def discounts(n: np.ndarray) -> np.ndarray:
 class Model:
     """What all blocks share: discounts of each order, number of training tokens, of distinct ones, and the unknown token's mass."""
 
-    def __init__(self, stats: dict[int, np.ndarray], order: int):
-        self.order = order
+    def __init__(self, stats: dict[int, np.ndarray], order: int, min_count: int = MIN_COUNT):
+        self.order, self.min_count = order, min_count
         self.discount = {k: discounts(stats[k]) for k in range(1, order + 1)}
         self.n, self.v = float(stats[1][-1]), float(stats[1][-2])
         low = stats[1][:MAX_DISCOUNTED] * np.arange(1, MAX_DISCOUNTED + 1)
@@ -130,7 +131,7 @@ class Model:
         return np.where(c <= MAX_DISCOUNTED, d, 1.0) * c / (context + RESERVED)
 
     def kept(self, k: int, c: np.ndarray) -> np.ndarray:
-        return c >= (1 if k == 1 else MIN_COUNT)
+        return c >= (1 if k == 1 else self.min_count)
 
 
 def _counts(got: dict[str, list[bytes]], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +139,7 @@ def _counts(got: dict[str, list[bytes]], k: int) -> tuple[np.ndarray, np.ndarray
     return (v >> U64(1)).astype(np.float64), (v & U64(1)) == 1
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, min_count: int = MIN_COUNT) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of its probability)."""
     spark = docs.sparkSession
     blocks = ex.Blocks(docs, key, text)
@@ -158,7 +159,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     # One short row per bucket and order.
     for r in replies.filter("block = -1").select("kind", "payload").toLocalIterator():
         stats[int(r.kind.removeprefix("statsn"))] += ex.unpack(bytes(r.payload), "<f8")
-    model = Model(stats, order)
+    model = Model(stats, order, min_count)
     replies = replies.filter("block >= 0")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +177,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
                 else:
                     q = model.share(k - 1, c[k - 1][0][shorter], c[k - 2][0][g.entry(k - 2, start + 1)])
                 size = len(g.keys[k - 1])
-                ask = np.flatnonzero(c[k - 1][0] >= MIN_COUNT)  # rarer contexts have no kept n-gram: their weight is 1
+                ask = np.flatnonzero(c[k - 1][0] >= min_count)  # rarer contexts have no kept n-gram: their weight is 1
                 yield ex.arrow_rows(list(ex.requests(f"b{k - 1}", block, g.keys[k - 1][ask], buckets, np.bincount(context, p, size)[ask], np.bincount(context, q, size)[ask])))
 
     ex.merge(ex.by_block(replies, blocks).mapInArrow(weigh, ex.ROWS), _Backoff()).write.parquet(f"{root}/weights")
@@ -199,7 +200,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
                 hit = left & model.kept(k, n)
                 lp[end[hit]] += np.log10(model.share(k, n[hit], c[k - 1][context[hit]]))
                 weight = np.zeros(len(g.keys[k - 1]))
-                weight[c[k - 1] >= MIN_COUNT] = ex.answers(got.get(f"b{k - 1}"), 0, "<f8")
+                weight[c[k - 1] >= min_count] = ex.answers(got.get(f"b{k - 1}"), 0, "<f8")
                 miss = left & ~hit
                 lp[end[miss]] += weight[context[miss]]
                 done[end[hit]] = True

@@ -42,7 +42,7 @@ def op2_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(documents(spark, sf_dir))
+    return katz.score(documents(spark, sf_dir), min_count=1)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,6 +197,33 @@ def test_katz_sums_to_one_and_equals_brute_force(spark):
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(s) - 1, sum((w,) in c[1] for w in s[1:]), n)
 
 
+def test_op3_keeps_what_training_saw_once(spark, tmp_path):
+    rng = random.Random(0)
+    texts = [" ".join(f"w{int(rng.expovariate(0.1))}" for _ in range(rng.randint(0, 25))) for _ in range(70)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op3_katz_backoff(spark, str(tmp_path)).collect()}
+    seqs = [["<s>", *t.split(), "</s>"] for t in texts]
+    c = {k: Counter(tuple(s[j : j + k]) for i, s in enumerate(seqs) if not katz.is_held_out(i) for j in range(len(s) - k + 1)) for k in (1, 2, 3)}
+    begin = c[1].pop(("<s>",))
+    d = {k: katz.discounts(np.array([sum(x == r for x in c[k].values()) for r in range(1, 7)], float)) for k in c}
+    assert d[2][1] < 1 and d[3][1] < 1 and sum(x == 1 for x in c[3].values()) > 100
+    disc = lambda k, x: (d[k][x] if x <= 5 else 1.0) * x
+    n = sum(c[1].values())
+
+    def p(w, h):
+        x = c[len(h) + 1][(*h, w)]
+        if not h:
+            return disc(1, x) / (n + 0.5) if x else 1 - sum(disc(1, y) for y in c[1].values()) / (n + 0.5)
+        if x:
+            return disc(len(h) + 1, x) / ((begin if h == ("<s>",) else c[len(h)][h]) + 0.5)
+        k = [y for (y,) in list(c[1]) if c[len(h) + 1][(*h, y)]]
+        b = (1 - sum(p(y, h) for y in k)) / (1 - sum(p(y, h[1:]) for y in k)) if k else 1.0
+        return b * p(w, h[1:])
+
+    for i, s in enumerate(seqs):
+        assert abs(got[i].score - sum(np.log10(p(s[j], tuple(s[max(0, j - 2) : j]))) for j in range(1, len(s)))) < 1e-6
+
+
 def test_katz_of_odd_tables(spark):
     got = katz.score(odd_docs(spark)).collect()
     assert len(got) == len(ODD) + 1 and all(np.isfinite(r.score) for r in got) and katz.score(empty_docs(spark)).count() == 0
