@@ -87,25 +87,23 @@ def line_uses(src: DataFrame) -> DataFrame:
     return d.select("_id", "_mark", "_host", F.posexplode(both).alias("place", "z")).select("_id", "_mark", "_host", "place", "z.l.line", "z.l.words", F.coalesce(F.col("z.l.line") != F.col("z.b"), F.lit(True)).alias("first"))
 
 
-def common_lines(src: DataFrame, uses: DataFrame, max_docs: int, max_share: float) -> DataFrame:
-    """Lines that more documents of one host use than its limit: _host, line, docs.  The limit is max_docs, or max_share of the host's documents if that is more."""
-    hosts = src.groupBy("_host").agg(F.count("*").alias("_n"))
-    found = uses.filter("first").groupBy("_host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs)
-    return found.join(hosts, "_host").filter(F.col("docs") > max_share * F.col("_n")).drop("_n")
+def common_lines(uses: DataFrame, max_docs: int) -> DataFrame:
+    """Lines that more than max_docs documents of one host use, however large the host: _host, line, docs."""
+    return uses.filter("first").groupBy("_host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs)
 
 
-def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 20, max_share: float = 0.01, max_removed: float = 0.5, min_kept: int = 30) -> DataFrame:
+def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 20, max_removed: float = 0.5, min_kept: int = 30) -> DataFrame:
     """Per document: base counts, base_failed, n_removed_words, depleted and kept.
 
-    A line may be shared by max_docs documents of a host, or by max_share of them if that is more.  kept is false if the base rules fail or
-    the document is depleted.
+    A line may be shared by max_docs documents of a host.  kept is false if the base rules fail or the document is
+    depleted.
     """
     src = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.col(host), F.lit("")).alias("_host")).withColumn("_mark", F.xxhash64("_text"))
     base = base_rules(src).drop("_text")
     uses = line_uses(src)
     # Few lines are common, but one of them may have a third of all uses: both sides are dealt over salts.
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    common = common_lines(src, uses, max_docs, max_share).select("_host", "line", salts)
+    common = common_lines(uses, max_docs).select("_host", "line", salts)
     hit = uses.withColumn("_salt", F.pmod(F.xxhash64("_id", "place"), F.lit(SALTS)).cast("int")).join(common, ["_host", "line", "_salt"])
     # Repeated rows use the same places; each row loses them once.
     lost = hit.dropDuplicates(["_id", "_mark", "_host", "place"]).groupBy("_id", "_mark", "_host").agg(F.sum("words").alias("lost"))
@@ -119,11 +117,11 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     )
 
 
-def without_common_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 20, max_share: float = 0.01) -> DataFrame:
+def without_common_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 20) -> DataFrame:
     """Adds `cleaned`: the text without its common lines.  Rows whose lines are all rare keep their text as it is."""
     src = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.col(host), F.lit("")).alias("_host")).withColumn("_mark", F.xxhash64("_text"))
     uses = line_uses(src)
-    bad = uses.join(common_lines(src, uses, max_docs, max_share), ["_host", "line"], "left_semi").groupBy("_id", "_mark", "_host").agg(F.collect_set("line").alias("_bad"))
+    bad = uses.join(common_lines(uses, max_docs), ["_host", "line"], "left_semi").groupBy("_id", "_mark", "_host").agg(F.collect_set("line").alias("_bad"))
     t, h = F.coalesce(docs[text], F.lit("")), F.coalesce(docs[host], F.lit(""))
     on = docs[key].eqNullSafe(bad["_id"]) & (F.xxhash64(t) == bad["_mark"]) & (h == bad["_host"])
     keep = F.concat_ws("\n", F.filter(F.split(t, "\n"), lambda x: ~F.array_contains(bad["_bad"], F.xxhash64(normalised(x)))))

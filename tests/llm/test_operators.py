@@ -326,6 +326,15 @@ def test_common_lines_deplete_documents(spark):
     assert text[3] == own(3) and text[203] == rows[-2][1]
 
 
+def test_common_lines_do_not_depend_on_the_size_of_the_host(spark):
+    body = F.concat_ws(" ", *[F.concat(F.lit(f"{chr(97 + k)}word"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")) for k in range(20)])
+    shared_line = F.when(F.col("id") < 21, F.concat(F.lit("\n"), F.lit("read the terms of this site and all of its many partners " * 4)))
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(body, F.coalesce(shared_line, F.lit(""))).alias("text"), F.lit("big").alias("source"))
+    lost = lambda t: {r.doc_id: r.n_removed_words for r in quality.quality(t).filter("n_removed_words > 0").collect()}
+    assert lost(d) == lost(d.filter("doc_id < 100")) == {i: 48 for i in range(21)}
+    assert quality.without_common_lines(d).filter("cleaned <> text").count() == 21
+
+
 def test_quality_of_odd_tables(spark):
     assert quality.quality(odd_docs(spark)).count() == len(ODD) + 1 and quality.quality(empty_docs(spark)).count() == 0
     assert quality.without_common_lines(odd_docs(spark)).count() == len(ODD) + 1
