@@ -9,8 +9,9 @@ weights, at least 0.75.
 
 A window can only be that similar to an item if the document holds 0.75 of the item's shingle
 weight near by, so windows are fingerprinted only around such places; this loses nothing.  A
-document of fewer words than the item is one window as a whole; an item of fewer than five words
-has its whole sequence as its only shingle.
+document of fewer words than the item is one window as a whole.  An item of fewer than five words
+has its whole sequence as its only shingle, so that it is found, in documents of any length, where
+a window of as many words is the same.
 
 Items are a stated query set.  They are read in blocks of at most ITEMS items, each of which is
 sent to the executors and meets all documents.  Null or empty texts match nothing; repeated
@@ -171,12 +172,19 @@ def _found(index: ItemIndex, texts: pa.Array) -> dict[int, list[tuple[int, int,
     at = starts[index.hits(window_hashes(h, SHINGLE)[starts])] if len(starts) else starts
     doc = np.searchsorted(first, at, side="right") - 1
     places = {int(d): at[doc == d] - first[d] for d in np.unique(doc)}
-    size = np.diff(first)
-    for d in np.flatnonzero((size > 0) & (size < SHINGLE)):
-        if len(index.hits(_shingles(h[first[d] : first[d + 1]]))):
-            places[int(d)] = np.zeros(1, np.int64)
-    got = {d: index.match(h[first[d] : first[d + 1]], p) for d, p in sorted(places.items())}
-    return {d: m for d, m in got.items() if m}
+    got = {d: index.match(h[first[d] : first[d + 1]], p) for d, p in places.items()}
+    # An item of fewer than five words is one shingle: its windows are equal to it or have nothing of it.
+    for m in index.short:
+        starts = window_starts(first, m)
+        w = window_hashes(h, m)[starts] if len(starts) else np.zeros(0, U64)
+        seen = set()
+        for k in index.hits(w):
+            d = int(np.searchsorted(first, starts[k], side="right")) - 1
+            for i in index.owners[int(w[k])]:
+                if i in index.by_size[m] and (d, i) not in seen:
+                    seen.add((d, i))
+                    got.setdefault(d, []).append((i, int(starts[k] - first[d]), m, 0, 1.0))
+    return {d: got[d] for d in sorted(got) if got[d]}
 
 
 def _one_block(docs: DataFrame, rows: list[tuple[int, str | None]]) -> DataFrame:

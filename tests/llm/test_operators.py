@@ -369,6 +369,17 @@ def test_decontamination(spark):
     assert decontam.clean(odd_docs(spark), b.limit(0)).count() == len(ODD) + 1 and decontam.matches(empty_docs(spark), b).count() == 0
 
 
+def test_short_items_are_found_in_documents_of_any_length(spark):
+    long = [f"w{k}" for k in range(100)]
+    texts = [" ".join([*long[:40], "Alpha, beta gamma", *long[40:]]), "alpha beta gamma", "x alpha beta gamma", "alpha beta", " ".join([*long, "delta"]), " ".join(long), "alpha beta x gamma " * 3]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    b = spark.createDataFrame([(7, "alpha beta gamma"), (8, "delta"), (9, "alpha beta gamma"), (10, " ".join(long[5:30]))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start_word, r.n_words, r.distance, r.similarity) for r in decontam.matches(d, b).collect()}
+    short = {(i, k): (p, 3, 0, 1.0) for i, p in ((0, 40), (1, 0), (2, 1)) for k in (7, 9)} | {(4, 8): (100, 1, 0, 1.0)}
+    assert got == short | {(i, 10): (5, 25, 0, 1.0) for i in (0, 4, 5)}
+    assert {r.doc_id for r in decontam.clean(d, b).collect()} == {3, 6}
+
+
 # 9: near-duplicates
 
 
