@@ -56,7 +56,7 @@ class NoticeFinder:
         import ahocorasick
 
         self.notices = notices
-        self.patterns = [regex.compile(f"(?e)(?:{regex.escape(n, literal_spaces=True)}){{e<={k}}}") for n, _, k in notices]
+        self.patterns = [regex.compile(f"(?b)(?<= )(?:{regex.escape(n, literal_spaces=True)}){{e<={k}}}(?= )") for n, _, k in notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for i, (n, _, k) in enumerate(notices):
             for at, part in split_seeds(n, k):
@@ -78,7 +78,8 @@ class NoticeFinder:
         return out
 
     def fuzzy(self, joined: str) -> list[tuple[int, int, str, int, int]]:
-        """Verified notices as (start, end, label, notice, edits), the longest run of each notice once per place."""
+        """Verified notices as (start, end, label, notice, edits), the best run of whole words of each notice once per place."""
+        padded = f" {joined} "
         starts: dict[int, set[int]] = {}
         for end, (size, owners) in self.seeds.iter(joined):
             for i, at in owners:
@@ -93,12 +94,12 @@ class NoticeFinder:
                 lo, hi = max(0, s - k), min(len(joined), s + len(notice) + 2 * k)
                 if hi - lo < len(notice) - k:
                     continue
-                m = self.patterns[i].search(joined, lo, hi)
+                # Borders belong to the pattern: a word's end with an edit is matched as a whole word, or not at all.
+                m = self.patterns[i].search(padded[lo : hi + 2])
                 if m:
-                    a, b = m.span()
-                    if (a == 0 or joined[a - 1] == " " or joined[a] == " ") and (b == len(joined) or joined[b] == " " or joined[b - 1] == " "):
-                        found.append((a, b, label, i, sum(m.fuzzy_counts)))
-                        done = b
+                    a, b = lo + m.start() - 1, lo + m.end() - 1
+                    found.append((a, b, label, i, sum(m.fuzzy_counts)))
+                    done = b
         return found
 
 

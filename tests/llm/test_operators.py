@@ -446,6 +446,14 @@ def test_license_base_and_fuzzy(spark):
     assert licenses.scan(empty_docs(spark)).count() == 0
 
 
+def test_license_edits_in_first_and_last_letters(spark):
+    texts = ["under the mozilla public licenses apply", "see xgnu lesser general public licenses for", "released under the mit licenses", "creative commons attributions here", "all rights reservedd by x", "the ll rights reserved", "some all rights reserve by", "small rights reserved"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == ["mpl", "lgpl", "mit", "cc-by", "proprietary", "proprietary", "proprietary", ""]
+    assert [s.edits for r in got[:7] for s in r.spans] == [1, 2, 1, 1, 1, 1, 1]
+    assert [(s.start_word, s.end_word) for r in got[:2] for s in r.spans] == [(2, 5), (1, 6)]
+
+
 def test_seeds_cover_the_notice():
     for n, _, k in licenses.NOTICES:
         parts = licenses.split_seeds(n, k)
