@@ -491,7 +491,7 @@ def trajectory(spark, sf):
     from tessera.plans import odometry
 
     p = points(spark, sf).select((F.col("label") % 4).cast("bigint").alias("rec"), F.col("label").cast("bigint").alias("scan_id"), F.col("label").cast("double").alias("t"), F.lit(0.0).alias("time"), "x", "y", "z")
-    schema = "scan_id bigint, t double, px double, py double, pz double, qx double, qy double, qz double, qw double"
+    schema = "scan_id bigint, t double, px double, py double, pz double, qx double, qy double, qz double, qw double, cov array<double>"
     return p.groupBy("rec").applyInPandas(lambda pdf: odometry.track(pdf), schema)
 
 
