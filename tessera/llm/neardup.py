@@ -7,7 +7,7 @@
    documents are posted under (pair of coordinates, values) and only these 32 prefixes are merged.
    Posting lists with one document go; in the others collisions are counted over all coordinates,
    skipping pairs that met in an earlier list.  At similarity 0.75 a pair has 48 matches on
-   average; fewer than 33 have odds of about 4 in a million.
+   average; fewer than 33 have odds of about 15 in a million (1.46e-5).
 3. Documents that are tied by such pairs form groups.  Within a group links are confirmed on the
    full shingle sets: 100 * |A and B| >= 75 * |A or B|, counted exactly by inverted lists.
 4. Components of the confirmed links, by large-star / small-star rounds on tables.
