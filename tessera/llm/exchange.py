@@ -14,7 +14,6 @@ rows in the same order whatever happens to executors, and nothing of the text is
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,7 +63,7 @@ def split_parts(data: bytes) -> list[bytes]:
 class Blocks:
     """A copy of (doc_id, text) in the shared folder, read block by block on executors."""
 
-    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text"):
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", n_buckets: int | None = None):
         self.spark = docs.sparkSession
         self.uri = shared.new_dir(self.spark, "blocks")
         src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -77,19 +76,13 @@ class Blocks:
         size = self.table.agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).first()
         self.table = self.table.drop("bytes")
         # Buckets follow the size of the text, not the number of files it happens to lie in.
-        self.n, self.n_buckets = size.n, 1 << max(3, (-(-int(size.b or 0) // BUCKET_BYTES)).bit_length())
+        self.n, self.n_buckets = size.n, n_buckets or 1 << max(3, (-(-int(size.b or 0) // BUCKET_BYTES)).bit_length())
 
     def rows(self) -> DataFrame:
         """One row per block, each in a partition of its own as far as these go."""
         return self.table.repartition(max(1, self.n), "block")
 
 
-def release(blocks: Blocks) -> None:
-    """Lets Spark drop the shuffle files of finished passes now: it does so when its driver collects garbage, else only every half hour."""
-    gc.collect()
-    blocks.spark.sparkContext._jvm.System.gc()
-
-
 def _row_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -130,7 +123,7 @@ def arrow_rows(rows: list[tuple[str, int, int, bytes]]) -> pa.RecordBatch:
 
 
 def merge(sent: DataFrame, fold) -> DataFrame:
-    """Replies to requests: fold(kind, keys, index, values, block of each entry) gives a value for each entry.
+    """Replies to requests: fold(kind, keys, index, values, bucket, block of each entry) gives a value for each entry.
 
     keys: distinct keys of the bucket, sorted; index: the key of each entry; entries are those of
     all blocks, one after the other.  fold may return a second item: rows to pass on as they are.
@@ -149,7 +142,7 @@ def merge(sent: DataFrame, fold) -> DataFrame:
             values = [np.concatenate([unpack(g[i], fold.kinds[i - 1]) for g in got]) for i in range(1, len(got[0]))]
             distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
             del keys
-            answer, extra = fold(kind, distinct, index, values, np.repeat(np.array(blocks), sizes))
+            answer, extra = fold(kind, distinct, index, values, bucket, np.repeat(np.array(blocks), sizes))
             ends = np.cumsum(sizes)
             rows = [(kind, blk, bucket, join_parts([pack(a[e - n : e]) for a in answer])) for blk, n, e in zip(blocks, sizes, ends.tolist(), strict=True)]
             yield arrow_rows(rows + extra)

@@ -14,7 +14,7 @@ import tempfile
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -35,6 +35,17 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def write(df: DataFrame, uri: str) -> None:
+    """Writes an intermediate table; the shuffle files that it took go when it is written, not when the driver happens to collect garbage."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        df.write.parquet(uri)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")

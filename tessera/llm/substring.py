@@ -79,7 +79,7 @@ class _Repeated:
 
     kinds = ("u1",)
 
-    def __call__(self, kind, keys, index, values, blocks):
+    def __call__(self, kind, keys, index, values, bucket, blocks):
         return [(np.bincount(index, values[0], len(keys)) >= 2).astype(np.uint8)[index]], []
 
 
@@ -88,7 +88,7 @@ class _First:
 
     kinds = ("u1", "<i8")
 
-    def __call__(self, kind, keys, index, values, blocks):
+    def __call__(self, kind, keys, index, values, bucket, blocks):
         low = np.full(len(keys), _LAST)
         np.minimum.at(low, index, values[1])
         many = np.bincount(index, values[0], len(keys)) >= 2

@@ -177,12 +177,12 @@ def test_katz_sums_to_one_and_equals_brute_force(spark):
     disc = lambda k, x: (d[k][x] if x <= 5 else 1.0) * x
     unk = 1 - sum(disc(1, x) for x in c[1].values()) / (n + 0.5)
     count = lambda h: begin if h == ("<s>",) else c[len(h)][h]
-    kept = lambda h: [w for w in c[1] if c[len(h) + 1][(*h, *w)] >= 2]
+    kept = lambda h: [w for w in c[1] if c[len(h) + 1][(*h, *w)] >= 1]
 
     def p(w, h):
         if not h:
             return disc(1, c[1][(w,)]) / (n + 0.5) if (w,) in c[1] else unk
-        if c[len(h) + 1][(*h, w)] >= 2:
+        if c[len(h) + 1][(*h, w)] >= 1:
             return disc(len(h) + 1, c[len(h) + 1][(*h, w)]) / (count(h) + 0.5)
         k = kept(h)
         b = (1 - sum(p(x[0], h) for x in k)) / (1 - sum(p(x[0], h[1:]) for x in k)) if k else 1.0
@@ -224,6 +224,19 @@ def test_op3_keeps_what_training_saw_once(spark, tmp_path):
         assert abs(got[i].score - sum(np.log10(p(s[j], tuple(s[max(0, j - 2) : j]))) for j in range(1, len(s)))) < 1e-6
 
 
+def test_stored_katz_tables_score_as_the_query_does(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r.doc_id: r for r in katz.score(docs).collect()}
+    model = katz.train(docs, shared.new_dir(spark, "katz"))
+    assert {r.kind for r in model.table(spark).select("kind").distinct().collect()} == {"t1", "t2", "t3", "v1", "v2"}
+    got = {r.doc_id: r for r in model.score(docs).collect()}
+    assert set(got) == set(want)
+    for i, r in got.items():
+        assert abs(r.score - want[i].score) < 1e-6 * abs(want[i].score) and (r.n_known, r.train_tokens) == (want[i].n_known, want[i].train_tokens)
+    other = model.score(spark.createDataFrame([(7, "never seen words zzzq qqqz"), (8, None)], "doc_id long, text string")).collect()
+    assert all(np.isfinite(r.score) and r.score < 0 for r in other)
+
+
 def test_katz_of_odd_tables(spark):
     got = katz.score(odd_docs(spark)).collect()
     assert len(got) == len(ODD) + 1 and all(np.isfinite(r.score) for r in got) and katz.score(empty_docs(spark)).count() == 0
