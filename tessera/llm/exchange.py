@@ -30,17 +30,33 @@ BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 ROWS = "kind string, block bigint, bucket int, payload binary"
 
 
-def pack(values: np.ndarray, sorted_keys: bool = False) -> bytes:
-    """Fixed-width integers or floats, compressed; sorted keys as differences."""
+def pack(values: np.ndarray, sorted_keys: bool = False, few: bool = False) -> bytes:
+    """Fixed-width integers or floats, compressed; sorted keys as differences; values of which few differ as codes."""
     v = np.ascontiguousarray(values)
     if sorted_keys and len(v):
         v = np.diff(v, prepend=v.dtype.type(0))
+    if few and len(v):
+        distinct, code = np.unique(v, return_inverse=True)
+        if len(distinct) <= 1 << 16:
+            known = _squeeze(distinct)
+            return (_CODED | len(known)).to_bytes(8, "little") + known + _squeeze(code.astype("<u2"))
+    return _squeeze(v)
+
+
+#: Marks a header: the length of the packed distinct values follows in it, then these, then the codes.
+_CODED = 1 << 63
+
+
+def _squeeze(v: np.ndarray) -> bytes:
     raw = v.view(np.uint8).reshape(len(v), v.itemsize).T.tobytes() if len(v) else b""
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpack(data: bytes, kind: str, sorted_keys: bool = False) -> np.ndarray:
     size = int.from_bytes(data[:8], "little")
+    if size & _CODED:
+        at = 8 + (size ^ _CODED)
+        return unpack(data[8:at], kind)[unpack(data[at:], "<u2")]
     raw = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
     item = np.dtype(kind).itemsize
     v = np.ascontiguousarray(raw.reshape(item, -1).T).reshape(-1).view(kind) if size else np.zeros(0, kind)
@@ -114,7 +130,7 @@ def requests(kind: str, block: int, keys: np.ndarray, n_buckets: int, *values: n
     for b in range(n_buckets):
         if at[b] < at[b + 1]:
             s = slice(at[b], at[b + 1])
-            yield kind, block, b, join_parts([pack(keys[s], True), *[pack(v[s]) for v in values]])
+            yield kind, block, b, join_parts([pack(keys[s], True), *[pack(v[s], few=v.dtype.kind == "f") for v in values]])
 
 
 def arrow_rows(rows: list[tuple[str, int, int, bytes]]) -> pa.RecordBatch:
@@ -144,7 +160,7 @@ def merge(sent: DataFrame, fold) -> DataFrame:
             del keys
             answer, extra = fold(kind, distinct, index, values, bucket, np.repeat(np.array(blocks), sizes))
             ends = np.cumsum(sizes)
-            rows = [(kind, blk, bucket, join_parts([pack(a[e - n : e]) for a in answer])) for blk, n, e in zip(blocks, sizes, ends.tolist(), strict=True)]
+            rows = [(kind, blk, bucket, join_parts([pack(a[e - n : e], few=a.dtype.kind == "f") for a in answer])) for blk, n, e in zip(blocks, sizes, ends.tolist(), strict=True)]
             yield arrow_rows(rows + extra)
 
     tagged = sent.withColumn("tag", F.crc32("kind").cast("bigint"))

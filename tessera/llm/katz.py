@@ -2,8 +2,8 @@
 
 P(w | h) = d(c) c(h w) / (c(h) + RESERVED) if the n-gram h w was seen in training, else
 b(h) P(w | h'), with h' one word shorter.  d(c) is the Good-Turing discount of counts up to 5, of
-each order; no n-gram is left out.  The reserved part of a count leaves mass for backing off even
-where no count is discounted.  b(h) is (1 - sum of P(w | h)) / (1 - sum of P(w | h')) over the w
+each order; no n-gram is left out.  RESERVED, 0.02 of a count, leaves mass for backing off even
+where no count is discounted (Katz's own form would give such a context's unseen words none).  b(h) is (1 - sum of P(w | h)) / (1 - sum of P(w | h')) over the w
 seen after h, so that each distribution sums to 1 over the V known tokens and one unknown token;
 the unknown token gets the mass that single words leave.  A context never seen has b = 1.
 
@@ -40,7 +40,7 @@ from tessera.llm import exchange as ex
 from tessera.llm import shared
 from tessera.llm.kernel import LOWER, U64, mix, per_doc, span_hashes, text_buffer, window_hashes, window_starts, word_spans
 
-ORDER, MAX_DISCOUNTED, RESERVED = 3, 5, 0.5
+ORDER, MAX_DISCOUNTED, RESERVED = 3, 5, 0.02
 BEGIN, END = U64(0x1B873593CC9E2D51), U64(0x85EBCA6B27D4EB2F)
 _STATS = MAX_DISCOUNTED + 3  # n_1 .. n_6, distinct n-grams, tokens
 _KEY = ~U64(3)  # keys leave two bits for marks, so that one sort brings keys and marks in order
@@ -102,6 +102,13 @@ class Grams:
             self.place[k] = np.zeros(len(self.tokens), np.int32)
             self.place[k][s] = np.arange(len(s), dtype=np.int32)
 
+    def asking(self, k: int, everyone: bool) -> np.ndarray:
+        """Whether texts that may back off have each distinct k-gram as a context."""
+        out = np.zeros(len(self.keys[k]), bool)
+        s = self.starts[k]
+        out[self.at[k][(everyone | ~self.train[s]) & ~self.ends[s + k - 1]]] = True
+        return out
+
     def entry(self, k: int, start: np.ndarray) -> np.ndarray:
         """The distinct k-gram of windows that start at given tokens (each has one)."""
         return self.at[k][self.place[k][start]]
@@ -136,18 +143,18 @@ class _Count:
 
 
 class _Backoff:
-    """Replies with log10 of the backoff weight."""
+    """Replies with log10 of the backoff weight to entries that ask for it, and 0 to those that only add to its sums."""
 
-    kinds = ("<f8", "<f8")
+    kinds = ("<f8", "<f8", "u1")
 
     def __init__(self, keep: bool):
         self.keep = keep
 
     def __call__(self, kind, keys, index, values, bucket, blocks):
-        seen, lower = (np.bincount(index, v, len(keys)) for v in values)
+        seen, lower = (np.bincount(index, v, len(keys)) for v in values[:2])
         b = np.log10(np.maximum(1 - seen, 1e-300) / np.maximum(1 - lower, 1e-300))
-        more = [(f"v{kind[1:]}", -1, bucket, ex.join_parts([ex.pack(keys, True), ex.pack(b)]))] if self.keep else []
-        return [b[index]], more
+        more = [(f"v{kind[1:]}", -1, bucket, ex.join_parts([ex.pack(keys, True), ex.pack(b, few=True)]))] if self.keep else []
+        return [b[index] * values[2]], more
 
 
 class _Lookup:
@@ -268,7 +275,8 @@ def _fit(blocks: ex.Blocks, order: int, keep: bool) -> tuple[Model, DataFrame]:
                 p = model.share(k, c[k][mine], c[k - 1][context])
                 q = model.share(1, c[1][shorter], model.n) if k == 2 else model.share(k - 1, c[k - 1][shorter], c[k - 2][g.entry(k - 2, start + 1)])
                 size, ask = len(g.keys[k - 1]), np.flatnonzero(asked[k - 1])
-                yield ex.arrow_rows(list(ex.requests(f"b{k - 1}", block, g.keys[k - 1][ask], buckets, np.bincount(context, p, size)[ask], np.bincount(context, q, size)[ask])))
+                sums = [np.bincount(context, x, size)[ask] for x in (p, q)]
+                yield ex.arrow_rows(list(ex.requests(f"b{k - 1}", block, g.keys[k - 1][ask], buckets, *sums, g.asking(k - 1, keep)[ask].astype(np.uint8))))
 
     shared.write(ex.merge(ex.by_block(answered, blocks).mapInArrow(weigh, ex.ROWS), _Backoff(keep)), f"{root}/weights")
     return model, replies.unionByName(spark.read.schema(ex.ROWS).parquet(f"{root}/weights"))

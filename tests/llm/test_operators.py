@@ -175,15 +175,15 @@ def test_katz_sums_to_one_and_equals_brute_force(spark):
     d = {k: katz.discounts(np.array([sum(1 for v in c[k].values() if v == r) for r in range(1, 7)], float)) for k in c}
     n, v = sum(c[1].values()), len(c[1])
     disc = lambda k, x: (d[k][x] if x <= 5 else 1.0) * x
-    unk = 1 - sum(disc(1, x) for x in c[1].values()) / (n + 0.5)
+    unk = 1 - sum(disc(1, x) for x in c[1].values()) / (n + katz.RESERVED)
     count = lambda h: begin if h == ("<s>",) else c[len(h)][h]
     kept = lambda h: [w for w in c[1] if c[len(h) + 1][(*h, *w)] >= 1]
 
     def p(w, h):
         if not h:
-            return disc(1, c[1][(w,)]) / (n + 0.5) if (w,) in c[1] else unk
+            return disc(1, c[1][(w,)]) / (n + katz.RESERVED) if (w,) in c[1] else unk
         if c[len(h) + 1][(*h, w)] >= 1:
-            return disc(len(h) + 1, c[len(h) + 1][(*h, w)]) / (count(h) + 0.5)
+            return disc(len(h) + 1, c[len(h) + 1][(*h, w)]) / (count(h) + katz.RESERVED)
         k = kept(h)
         b = (1 - sum(p(x[0], h) for x in k)) / (1 - sum(p(x[0], h[1:]) for x in k)) if k else 1.0
         return b * p(w, h[1:])
@@ -213,9 +213,9 @@ def test_op3_keeps_what_training_saw_once(spark, tmp_path):
     def p(w, h):
         x = c[len(h) + 1][(*h, w)]
         if not h:
-            return disc(1, x) / (n + 0.5) if x else 1 - sum(disc(1, y) for y in c[1].values()) / (n + 0.5)
+            return disc(1, x) / (n + katz.RESERVED) if x else 1 - sum(disc(1, y) for y in c[1].values()) / (n + katz.RESERVED)
         if x:
-            return disc(len(h) + 1, x) / ((begin if h == ("<s>",) else c[len(h)][h]) + 0.5)
+            return disc(len(h) + 1, x) / ((begin if h == ("<s>",) else c[len(h)][h]) + katz.RESERVED)
         k = [y for (y,) in list(c[1]) if c[len(h) + 1][(*h, y)]]
         b = (1 - sum(p(y, h) for y in k)) / (1 - sum(p(y, h[1:]) for y in k)) if k else 1.0
         return b * p(w, h[1:])
