@@ -1,21 +1,29 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-Labels mark whole documents, so token labels are made first: in labelled toxic documents the words
-whose document frequency there is far above that in clean documents are toxic tokens, all other
-tokens (and every token of a clean document) are not.  The field has two states; a token's
-potential depends on its word and on whether its neighbours are such words, and transitions tie
-neighbours together.  It is fitted by gradient ascent on the penalised log-likelihood, with
-gradients from forward-backward marginals.  A document's score is a logistic function of its
-marginals' maximum, sum and density, fitted on the same documents.
+Tokens have two states, toxic and not.  A token's potential is a sum of learned weights: of its
+word, of the characters it starts and ends with, of its length and of the words before and after it;
+transitions tie neighbours together.  Labels mark whole documents, and the states of their tokens
+are latent: a clean document has no toxic token, a toxic one has at least one.  So
+
+    P(toxic) = 1 - Z0 / Z,   Z: the sum over all state sequences, Z0: the weight of the one without toxic tokens
+
+and the penalised log-likelihood of the labels is climbed with exact gradients: in a clean document
+each token's target is 0, in a toxic one its marginal given that some token is toxic, m / P(toxic).
+Forward-backward gives all of these.  No word list is given or chosen beforehand.  A document's
+score is a logistic function of P(toxic) and of its marginals' maximum and sum, fitted on the same
+documents; spans are runs of tokens whose marginals are at least 0.5.
 
 Forward-backward over a chain of two states is a product of 2x2 matrices.  All documents of a batch
 are one long chain whose matrices at document starts forget what came before; it is scanned in
 blocks side by side, so that a very long text costs no more than many short ones.
 
-The model is fitted on at most TRAIN_DOCS labelled documents, those with the smallest hashes of
-their ids; this bounds what reaches the driver.  Labels that are null are not used.  Null and empty
-texts get the score of a text without toxic tokens.  Without labelled rows of both kinds every
-score is the share of toxic labels (0 without labels).  Repeated rows each get their score.
+The model is fitted on at most `bound` (TRAIN_DOCS) labelled documents, those with the smallest
+hashes of their ids; this bounds what reaches the driver.  Labels and ids that are null are not
+used for training; a row with a null id is scored as others and is not held out.  An id with several
+labels counts as toxic if one of them says so, one with several texts gives the smallest.  Null and
+empty texts get the score of a text without toxic tokens.  Without labelled rows of both kinds every
+score is near the share of toxic labels (0 without labels).  Repeated rows each get their score;
+columns whose names clash with those of the result are not read.
 """
 
 from __future__ import annotations
@@ -28,13 +36,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.kernel import ALNUM_WORDS, LOWER, U64, doc_of, per_doc, pieces, span_hashes, text_buffer, word_spans
+from tessera.llm.kernel import ALNUM_WORDS, LOWER, U64, doc_of, mix, per_doc, pieces, span_hashes, text_buffer, word_spans
 
-TRAIN_DOCS, LEXICON, ITERATIONS, BLOCK = 2500, 2000, 30, 128
+#: Bounds of the training: labelled documents, words with weights of their own, rounds.
+TRAIN_DOCS, LEXICON, ITERATIONS, BLOCK = 2500, 100_000, 60, 128
+#: Numbers of hashed weights of a word's parts, in the order of Tokens.parts, and of the words before and behind.
+LENGTHS, PARTS, NEAR = 16, (1 << 14, 1 << 15, 1 << 16, 1 << 16, 1 << 16, 1 << 14, 16), 1 << 12
 
 
 def held_out(key: Column) -> Column:
-    return F.crc32(key.cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def chain_ratios(e: np.ndarray, opens: np.ndarray, trans: np.ndarray, start: float) -> np.ndarray:
@@ -75,175 +86,225 @@ def chain_ratios(e: np.ndarray, opens: np.ndarray, trans: np.ndarray, start: flo
     return out.T.reshape(-1)[:n]
 
 
+@dataclass
+class Tokens:
+    """Tokens of a batch: word hashes, each document's first token, bytes of each word, and hashed parts.
+
+    parts: the first four, five, six, seven and eight bytes of longer words, the last four bytes, and
+    the length.
+    """
+
+    h: np.ndarray
+    first: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    parts: list[np.ndarray]
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Tokens:
+        raw, offs = text_buffer(texts)
+        low = LOWER[raw]
+        starts, ends, first = word_spans(low, offs, ALNUM_WORDS)
+        padded = np.zeros(len(low) + 16, np.uint8)
+        padded[8 : len(low) + 8] = low
+        eight = np.ndarray((len(low) + 9,), "<u8", padded, strides=(1,))
+        size = ends - starts
+        front, back = eight[starts + 8], eight[ends]
+        keys = [*[np.where(size > k, front & U64((1 << 8 * k) - 1), U64(0)) for k in (4, 5, 6, 7, 8)], back >> (U64(64) - U64(8) * np.minimum(size, 4).astype(U64))]
+        length = np.minimum(size, LENGTHS - 1)
+        parts = [(mix(x ^ U64(k << 60)) % U64(n)).astype(np.int32) for k, (x, n) in enumerate(zip(keys, PARTS[:-1], strict=True), 1)]
+        return cls(span_hashes(low, starts, ends), first, starts, ends, [*parts, length.astype(np.int32)])
+
+
 @dataclass
 class Crf:
     lexicon: np.ndarray  # sorted word hashes
     word: np.ndarray  # weight of each of them
-    other: np.ndarray  # bias, neighbour before, neighbour after, start
+    part: list[np.ndarray]  # weights of a word's parts
+    near: list[np.ndarray]  # weights of the words before and behind
+    other: np.ndarray  # bias, and the start's log-odds
     trans: np.ndarray  # 2x2 log-potentials
     doc: np.ndarray  # weights of the document's features
 
-    def features(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Lexicon entry of each token (-1: none), whether its neighbours have one, and where documents start."""
-        entry = np.full(len(h), -1, np.int64)
-        if len(self.lexicon) and len(h):
-            at = np.minimum(np.searchsorted(self.lexicon, h), len(self.lexicon) - 1)
-            entry = np.where(self.lexicon[at] == h, at, -1)
-        opens = np.zeros(len(h), bool)
-        begin = first[:-1][np.diff(first) > 0]
-        opens[begin] = True
-        before, after = np.zeros(len(h), bool), np.zeros(len(h), bool)
-        before[1:] = (entry[:-1] >= 0) & ~opens[1:]
-        after[:-1] = (entry[1:] >= 0) & ~opens[1:]
-        return entry, before, after, opens
-
-    def ratios(self, f: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    @classmethod
+    def blank(cls, lexicon: np.ndarray) -> Crf:
+        return cls(lexicon, np.zeros(len(lexicon)), [np.zeros(n) for n in PARTS], [np.zeros(NEAR), np.zeros(NEAR)], np.array([-6.0, 0.0]), np.zeros((2, 2)), np.zeros(4))
+
+    def groups(self) -> list[np.ndarray]:
+        return [self.word, *self.part, *self.near, self.other, self.trans]
+
+    def features(self, t: Tokens) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each group of weights the entry of each token (-1: none), and where documents start."""
+        n = len(t.h)
+        entry = np.full(n, -1, np.int32)
+        if len(self.lexicon) and n:
+            at = np.minimum(np.searchsorted(self.lexicon, t.h), len(self.lexicon) - 1)
+            entry = np.where(self.lexicon[at] == t.h, at, -1).astype(np.int32)
+        opens = np.zeros(n, bool)
+        opens[t.first[:-1][np.diff(t.first) > 0]] = True
+        code = (t.h >> U64(52)).astype(np.int32)
+        before, behind = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+        before[1:], behind[:-1] = np.where(opens[1:], -1, code[:-1]), np.where(opens[1:], -1, code[1:])
+        return [entry, *t.parts, before, behind], opens
+
+    def odds(self, f: tuple) -> np.ndarray:
+        """Odds of the toxic state of each token from its own potential."""
+        entries, opens = f
+        x = np.full(len(opens), self.other[0])
+        for at, w in zip(entries, [self.word, *self.part, *self.near], strict=True):
+            if w.any():
+                x += np.append(w, 0.0)[at]
+        return np.exp(np.clip(x, -30, 30))
+
+    def messages(self, f: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Odds of each token alone, and ratios of its forward and backward messages."""
-        entry, before, after, opens = f
-        e = np.exp(np.clip(self.other[0] + np.where(entry >= 0, self.word[entry] if len(self.word) else 0.0, 0.0) + self.other[1] * before + self.other[2] * after, -30, 30))
-        t = np.exp(self.trans)
-        alpha = chain_ratios(e, opens, t, float(np.exp(self.other[3])))
+        opens, e, t = f[1], self.odds(f), np.exp(self.trans)
+        alpha = chain_ratios(e, opens, t, float(np.exp(self.other[1])))
         ends = np.zeros(len(e), bool)
         ends[:-1] = opens[1:]
         ends[-1:] = True
         # Backwards the chain is the same with transposed transitions, and flat at its end.
-        x = chain_ratios(e[::-1], ends[::-1], t.T, 1.0)[::-1]
-        beta = x / e
-        return e, alpha, beta
+        return e, alpha, chain_ratios(e[::-1], ends[::-1], t.T, 1.0)[::-1] / e
 
-    def marginals(self, f: tuple) -> np.ndarray:
-        _, alpha, beta = self.ratios(f)
+    def clean(self, f: tuple, first: np.ndarray, e: np.ndarray, beta: np.ndarray) -> np.ndarray:
+        """log(Z0 / Z) of each document: each token stays clean given that the one before is."""
+        t = np.where(f[1], np.exp(self.other[1]), np.exp(self.trans[0, 1] - self.trans[0, 0]))
+        return -per_doc(np.log1p(t * e * beta), first)
+
+    def judge(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals of the tokens, and scores of the documents."""
+        f = self.features(t)
+        e, alpha, beta = self.messages(f)
         odds = alpha * beta
-        return odds / (1 + odds)
+        m = odds / (1 + odds)
+        x = self.doc_features(m, t.first, self.clean(f, t.first, e, beta))
+        return m, 1 / (1 + np.exp(-np.clip(x @ self.doc, -30, 30)))
 
-    def doc_features(self, m: np.ndarray, first: np.ndarray) -> np.ndarray:
-        total, n = per_doc(m, first), np.diff(first)
-        top = np.zeros(len(n))
+    def doc_features(self, m: np.ndarray, first: np.ndarray, clean: np.ndarray) -> np.ndarray:
+        n, top = np.diff(first), np.zeros(len(first) - 1)
         some = n > 0
         if some.any():
             top[some] = np.maximum.reduceat(m, first[:-1][some])
-        return np.stack([np.ones(len(n)), top, np.log1p(total), np.sqrt(total / np.maximum(n, 1))], axis=1)
-
-    def score(self, m: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.doc_features(m, first) @ self.doc, -30, 30)))
-
-
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    raw, offs = text_buffer(texts)
-    low = LOWER[raw]
-    starts, ends, first = word_spans(low, offs, ALNUM_WORDS)
-    return span_hashes(low, starts, ends), first, starts, ends, raw, offs
-
-
-def choose_lexicon(h: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Words whose share of toxic documents is far above the share of clean ones (by a lower bound of the log-odds)."""
-    pairs = np.unique(np.stack([h, doc_of(first).astype(U64)], axis=1), axis=0)
-    words, at = np.unique(pairs[:, 0], return_inverse=True)
-    y = toxic[pairs[:, 1].astype(np.int64)]
-    bad, good = np.bincount(at, y, len(words)), np.bincount(at, ~y, len(words))
-    n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
-    odds = np.log((bad + 0.5) / (n1 + 1)) - np.log((good + 0.5) / (n0 + 1))
-    sure = odds - 2.5 * np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
-    best = np.argsort(-sure, kind="stable")[:LEXICON]
-    return np.sort(words[best[(sure[best] > 0.5) & (bad[best] >= 3)]])
-
-
-def fit(texts: list[str | None], toxic: np.ndarray, iterations: int = ITERATIONS, penalty: float = 1e-3) -> Crf:
+        return np.stack([np.ones(len(n)), -np.expm1(np.minimum(clean, 0)), top, np.log1p(per_doc(m, first))], axis=1)
+
+    def gradient(self, t: Tokens, f: tuple, toxic: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Log-likelihood of the labels, and its gradient by each group of weights."""
+        e, alpha, beta = self.messages(f)
+        m = alpha * beta / (1 + alpha * beta)
+        clean = self.clean(f, t.first, e, beta)
+        some = np.maximum(-np.expm1(clean), 1e-300)  # P(toxic)
+        full = np.diff(t.first) > 0
+        value = np.where(toxic, np.log(some), clean)[full].sum()
+        doc = doc_of(t.first)
+        # Given its label, a clean document has no toxic token, and a toxic one some.
+        raise_by = np.where(toxic, 1 / some, 0.0)[doc]
+        g = m * raise_by - m
+        inner = ~f[1]
+        x = np.exp(self.trans)
+        a, eb = np.roll(alpha, 1)[inner], (e * beta)[inner]
+        p = np.stack([np.full(len(a), x[0, 0]), x[0, 1] * eb, a * x[1, 0], a * x[1, 1] * eb])
+        p /= p.sum(axis=0)
+        up = raise_by[inner]
+        gone = np.where(toxic, np.exp(clean) / some, 0.0)[doc][inner]
+        want = p * up
+        want[0] = np.where(toxic[doc][inner], want[0] - gone, 1.0)
+        entries = f[0]
+        out = [np.bincount(at + 1, g, len(w) + 1)[1:] for at, w in zip(entries, [self.word, *self.part, *self.near], strict=True)]
+        return float(value), [*out, np.array([g.sum(), g[f[1]].sum()]), (want - p).sum(axis=1).reshape(2, 2)]
+
+
+#: Penalties of the groups of weights, by their order in Crf.groups.
+PENALTY = (0.02, *[0.05] * 6, 1.0, 2.0, 2.0, 0.02, 0.02)
+
+RATE = (400.0, *[40.0] * 6, 2.0, 2.0, 2.0, 10.0, 10.0)
+
+
+def fit(texts: list[str | None], toxic: np.ndarray, iterations: int = ITERATIONS) -> Crf:
     toxic = toxic.astype(bool)
-    h, first, *_ = tokens(pa.array(texts, pa.string()))
     share = float(toxic.mean()) if len(toxic) else 0.0
     # Copies of one text are one observation.
     once = sorted({t: i for i, t in reversed(list(enumerate(texts)))}.values())
-    h1, first1, *_ = tokens(pa.array([texts[i] for i in once], pa.string()))
-    lex = choose_lexicon(h1, first1, toxic[once]) if 0 < share < 1 and len(h) else np.zeros(0, U64)
-    crf = Crf(lex, np.zeros(len(lex)), np.zeros(4), np.zeros((2, 2)), np.zeros(4))
-    crf.other[0] = -3.0
-    f = crf.features(h, first)
-    entry, before, after, opens = f
-    if 0 < share < 1 and len(h):
-        y = (entry >= 0) & toxic[doc_of(first)]
-        inner = ~opens
-        prev = np.roll(y, 1)
-        n, known = len(h), entry >= 0
-        step = [np.zeros_like(p) for p in (crf.word, crf.other, crf.trans)]
-        count = np.maximum(np.bincount(entry[known], minlength=len(lex)), 1)
-        for it in range(iterations):
-            e, alpha, beta = crf.ratios(f)
-            m = alpha * beta / (1 + alpha * beta)
-            g = y - m
-            # Pairwise marginals of (state before, state) from the messages around each border.
-            t = np.exp(crf.trans)
-            a = np.roll(alpha, 1)[inner]
-            eb = (e * beta)[inner]
-            p = np.stack([np.ones_like(a) * t[0, 0], t[0, 1] * eb, a * t[1, 0], a * t[1, 1] * eb])
-            p /= p.sum(axis=0)
-            seen = np.array([[(~prev & ~y & inner).sum(), (~prev & y & inner).sum()], [(prev & ~y & inner).sum(), (prev & y & inner).sum()]])
-            grads = [
-                np.bincount(entry[known], g[known], len(lex)) / count - penalty * crf.word,
-                np.array([g.sum(), g[before].sum(), g[after].sum(), g[opens].sum()]) / np.array([max(1, known.sum()), max(1, before.sum()), max(1, after.sum()), max(1, opens.sum())]) - penalty * crf.other,
-                (seen - p.sum(axis=1).reshape(2, 2)) / max(1, known.sum()) - penalty * crf.trans,
-            ]
-            for k, (w, d) in enumerate(zip((crf.word, crf.other, crf.trans), grads, strict=True)):
-                step[k] = 0.6 * step[k] + d
-                w += (2.0 if k == 0 else 0.5) * step[k] / (1 + it / iterations)
-                np.clip(w, -8, 8, out=w)
-        assert n
-    x, w = crf.doc_features(crf.marginals(f), first), np.zeros(4)
-    if 0 < share < 1:
-        for _ in range(25):  # Newton's method for the ridge-penalised logistic loss
-            q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            hess = (x * (q * (1 - q))[:, None]).T @ x + 1e-2 * np.eye(4)
-            w = w + np.linalg.solve(hess, x.T @ (toxic - q) - 1e-2 * w)
-    else:
-        w[0] = -30.0 if share == 0 else 30.0
+    y, t = toxic[once], Tokens.of(pa.array([texts[i] for i in once], pa.string()))
+    # Words of one document alone tell nothing of others: they share the weights of their parts.
+    words, docs = np.unique(np.unique(np.stack([t.h, doc_of(t.first).astype(U64)], axis=1), axis=0)[:, 0], return_counts=True)
+    crf = Crf.blank(np.sort(words[docs >= 2][np.argsort(-docs[docs >= 2], kind="stable")[:LEXICON]]))
+    if not 0 < share < 1 or not len(t.h):
+        crf.doc[0] = np.log((share + 1e-9) / (1 - share + 1e-9))
+        return crf
+    f = crf.features(t)
+    crf.other[0] = np.log(max(1, y.sum()) / len(t.h)) - 1
+    speed = [np.zeros_like(w) for w in crf.groups()]
+    for r in range(iterations):
+        # Half of the words are hidden in each round: else the first words that explain a document keep all others from being learned.
+        hide = mix(t.h ^ U64(r)) & U64(1) == 0
+        _, grads = crf.gradient(t, ([np.where(hide, -1, at).astype(np.int32) for at in f[0]], f[1]), y)
+        for k, (w, g) in enumerate(zip(crf.groups(), grads, strict=True)):
+            step = RATE[k] / max(1, y.sum()) * (g - PENALTY[k] * w)
+            speed[k] = 0.5 * speed[k] + np.clip(step, -1, 1) * (0.5 * (1 - r / iterations))
+            w += speed[k]
+            np.clip(w, -15, 15, out=w)
+    m, _ = crf.judge(t)
+    e, _, beta = crf.messages(f)
+    x, w = crf.doc_features(m, t.first, crf.clean(f, t.first, e, beta)), np.zeros(4)
+    for _ in range(25):  # Newton's method for the ridge-penalised logistic loss
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hess = (x * (q * (1 - q))[:, None]).T @ x + 1e-1 * np.eye(4)
+        w = w + np.linalg.solve(hess, x.T @ (y - q) - 1e-1 * w)
     crf.doc = w
     return crf
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Crf:
-    """Fits the field on at most TRAIN_DOCS labelled documents that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = TRAIN_DOCS) -> Crf:
+    """Fits the field on at most `bound` labelled documents that are not held out."""
     asked = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).filter("_k is not null and _y is not null").filter(~held_out(F.col("_k")))
-    chosen = asked.groupBy("_k").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_k"), "_k").limit(TRAIN_DOCS)
-    # At most TRAIN_DOCS ids: a bounded side.
-    rows = docs.select(F.col(key).alias("_d"), F.col(text).alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("_k")).select("_k", "_t", "_y").toLocalIterator()
-    got = {r._k: (r._t, r._y) for r in rows}
+    chosen = asked.groupBy("_k").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_k"), "_k").limit(bound)
+    # At most `bound` ids: a bounded side.
+    rows = docs.select(F.col(key).alias("_d"), F.col(text).alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("_k")).select("_k", "_t", "_y").groupBy("_k", "_y").agg(F.min("_t").alias("_t"))
+    got = {r._k: (r._t, r._y) for r in rows.toLocalIterator()}
     got = dict(sorted(got.items()))
     return fit([t for t, _ in got.values()], np.array([y > 0 for _, y in got.values()], dtype=bool))
 
 
 def score(docs: DataFrame, crf: Crf, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: score (0 to 1), predicted (score >= 0.5) and spans of toxic tokens with their characters and marginals."""
+    """Per document: score (0 to 1), predicted (score >= 0.5) and spans of toxic tokens with their characters and the largest marginal of each."""
     schema = "doc_id bigint, score double, predicted int, spans array<struct<start:int,end:int,p:double>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
         for whole in batches:
             for b in pieces(whole, "text"):
-                h, first, starts, ends, raw, offs = tokens(b.column("text"))
-                f = crf.features(h, first)
-                m = crf.marginals(f)
-                s = crf.score(m, first)
-                spans: list[list] = [[] for _ in s]
-                hot = np.flatnonzero(m >= 0.5)
-                if len(hot):
-                    chars = np.zeros(len(raw) + 1, np.int64)
-                    np.cumsum((raw & 0xC0) != 0x80, out=chars[1:])
-                    doc = doc_of(first)[hot]
-                    lo = chars[offs[:-1]]
-                    for d, a, z, p in zip(doc.tolist(), chars[starts[hot]].tolist(), chars[ends[hot]].tolist(), m[hot].tolist(), strict=True):
-                        spans[d].append({"start": a - int(lo[d]), "end": z - int(lo[d]), "p": p})
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(spans, kind)], names=["doc_id", "score", "predicted", "spans"])
+                t = Tokens.of(b.column("text"))
+                m, s = crf.judge(t)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(spans(b.column("text"), t, m), kind)], names=["doc_id", "score", "predicted", "spans"])
 
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+def spans(texts: pa.Array, t: Tokens, m: np.ndarray, least: float = 0.5) -> list[list[dict]]:
+    """Of each document: runs of neighbouring toxic tokens, in characters."""
+    out: list[list] = [[] for _ in range(len(texts))]
+    hot = np.flatnonzero(m >= least)
+    if not len(hot):
+        return out
+    raw, offs = text_buffer(texts)
+    chars = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum((raw & 0xC0) != 0x80, out=chars[1:])
+    doc, lo = doc_of(t.first)[hot], chars[offs[:-1]]
+    opens = np.ones(len(hot), bool)
+    opens[1:] = (hot[1:] != hot[:-1] + 1) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(opens)
+    last = np.append(at[1:], len(hot)) - 1
+    for d, a, z, p in zip(doc[at].tolist(), chars[t.starts[hot[at]]].tolist(), chars[t.ends[hot[last]]].tolist(), np.maximum.reduceat(m[hot], at).tolist(), strict=True):
+        out[d].append({"start": a - int(lo[d]), "end": z - int(lo[d]), "p": p})
+    return out
+
+
 def without_toxic(docs: DataFrame, crf: Crf, text: str = "text") -> DataFrame:
     """The rows whose score is below 0.5, with all their columns; one pass, no join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in pieces(whole, text):
-                h, first, *_ = tokens(b.column(text))
-                yield b.filter(pa.array(crf.score(crf.marginals(crf.features(h, first)), first) < 0.5))
+                yield b.filter(pa.array(crf.judge(Tokens.of(b.column(text)))[1] < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
