@@ -2,23 +2,30 @@
 
 1. Each text is the set of its distinct five-word shingles.  Equal sets meet by a 128-bit hash of
    the set, and one representative of each goes on.
-2. A representative has a signature of 64 MinHash coordinates.  Two signatures that agree in at
-   least MATCHES = 33 coordinates agree in two neighbouring ones (pigeonhole over 32 pairs), so
-   documents are posted under (pair of coordinates, values) and only these 32 prefixes are merged.
-   Posting lists with one document go; in the others collisions are counted over all coordinates,
-   skipping pairs that met in an earlier list.  At similarity 0.75 a pair has 48 matches on
-   average; fewer than 33 have odds of about 15 in a million (1.46e-5).
+2. A representative has a signature of 64 MinHash coordinates and is posted under each pair of
+   (coordinate, value).  Two signatures match if they agree in at least MATCHES = 33 coordinates.
+   Prefix: with the lists ordered from short to long, such a pair meets in the first 64 - 33 + 1 =
+   32 lists of both, so that only these are merged; lists with one member count among the 32, so that
+   a representative without 33 shared values goes at once, and long lists (of a passage that very
+   many documents share) are seldom among them.
+   Skip: in a list, collisions of a pair are counted over all coordinates, unless the pair has met in
+   a list of a lower coordinate, or its two are tied already.
+   At similarity 0.75 a pair has 48 matches on average; fewer than 33 have odds of 1.46e-5.
 3. Documents that are tied by such pairs form groups.  Within a group links are confirmed on the
    full shingle sets: 100 * |A and B| >= 75 * |A or B|, counted exactly by inverted lists.
 4. Components of the confirmed links, by large-star / small-star rounds on tables.
 
-Large posting lists and groups are cut into blocks of BLOCK members; each pair of blocks is a task
-of its own, so that no task holds an unbounded group, and no member is dropped.  A task returns a
-spanning forest of what it finds, never all pairs; that keeps every component whole.
+Only connections count, so that pairs whose two are tied already need no comparison.  Lists and
+groups of more than BLOCK members are dealt over tasks of BLOCK members, each with the smallest
+member too (`link`); look-alikes tie to it at once.  What is then still apart from the largest part
+of its list meets all other members, again in blocks.  No member and no pair of parts is left out,
+no task holds an unbounded group, and a group of look-alikes costs in proportion to its size.
 
 Null and empty texts (and texts without words) have an empty set, n_shingles 0, and are linked
-with nothing: each is its own component and kept.  Fewer than five words make one shingle.  Rows
-that share an id are taken as one document by their smallest text hash order; give unique ids.
+with nothing: each is its own component and kept.  So is a row with a null id (component_id null).
+Fewer than five words make one shingle.  Repeated rows all get the same result; rows that share an
+id and differ in text are documents of their own, judged each by its own text, and the id then
+counts for both of their components.
 """
 
 from __future__ import annotations
@@ -62,8 +69,13 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def set_hash(s: np.ndarray) -> tuple[int, int]:
+    lo, hi = mix(s).sum(dtype=U64), mix(s ^ _B[0]).sum(dtype=U64)
+    return int(lo.view(np.int64)), int(hi.view(np.int64))
+
+
 def describe(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, set_lo, set_hi (hash of the set) and sig (signature; null for empty sets)."""
+    """doc_id, mark, n_shingles, set_lo, set_hi (hash of the set) and sig (signature; null for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -74,12 +86,11 @@ def describe(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 sig: list[bytes | None] = [None] * len(sets)
                 for i, row in zip(full, sigs, strict=True):
                     sig[i] = row.tobytes()
-                lo = np.array([mix(s).sum(dtype=U64) for s in sets], U64).view(np.int64)
-                hi = np.array([mix(s ^ _B[0]).sum(dtype=U64) for s in sets], U64).view(np.int64)
+                lo, hi = np.array([set_hash(s) for s in sets], np.int64).reshape(-1, 2).T
                 n = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(lo), pa.array(hi), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set_lo", "set_hi", "sig"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(n), pa.array(lo), pa.array(hi), pa.array(sig, pa.binary())], names=["doc_id", "mark", "n_shingles", "set_lo", "set_hi", "sig"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_lo bigint, set_hi bigint, sig binary")
+    return docs.mapInArrow(run, "doc_id bigint, mark bigint, n_shingles bigint, set_lo bigint, set_hi bigint, sig binary")
 
 
 def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -117,33 +128,17 @@ def _split(t: pa.Table, cuts) -> Iterator[pa.Table]:
         yield t.slice(a, b - a)
 
 
-class Forest:
-    """Union-find over the members of one task."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
+class Parts:
+    """Which members of one task are tied: `of` has a number for each part."""
 
-    def join(self, x: int, y: int) -> bool:
-        a, b = self.root(x), self.root(y)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+    def __init__(self, of: np.ndarray):
+        self.of = of.copy()
 
-
-def in_blocks(rows: DataFrame, group: str, size: str, member: str) -> DataFrame:
-    """Deals each group's members to pairs of blocks: adds _lo, _hi (the task) and _own (the member's block)."""
-    g = F.ceil(F.col(size) / BLOCK).cast("int")
-    d = rows.withColumn("_g", g).withColumn("_own", F.pmod(F.xxhash64(member), F.col("_g")).cast("int"))
-    d = d.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
-    d = d.withColumn("_lo", F.least("_own", "_other")).withColumn("_hi", F.greatest("_own", "_other")).drop("_g", "_other")
-    return d.repartition(F.col(group), F.col("_lo"), F.col("_hi")).sortWithinPartitions(group, "_lo", "_hi", member)
+    def tie(self, x: int, ys: np.ndarray) -> np.ndarray:
+        """Ties x to ys; those that were in parts of their own until then."""
+        new = ys[np.unique(self.of[ys], return_index=True)[1]]
+        self.of[np.isin(self.of, self.of[new])] = self.of[x]
+        return new
 
 
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -151,88 +146,144 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
 
-def candidate_edges(reps: DataFrame) -> DataFrame:
-    """Spanning edges (a, b) of pairs of representatives with at least MATCHES equal coordinates.  reps: rep, sig."""
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = COORDINATES // 2
-        for b in batches:
-            if not b.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            keys = mix((sig[:, 0::2].astype(U64) << U64(32) | sig[:, 1::2]) ^ _B[None, :half])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column("rep").to_numpy(), half))], names=["key", "rep"])
+def link(members: DataFrame, attach, finder, at: str) -> DataFrame:
+    """Edges that tie all members of a group that are linked, directly or through others: a table a, b.
 
-    posts = reps.mapInArrow(post, "key bigint, rep bigint")
-    multi = posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = posts.join(multi, "key")
-    tasks = in_blocks(members.join(reps, "rep").select("key", "n", "rep", "sig"), "key", "n", "rep")
+    members: grp, n (of the group's members), pivot (its smallest), rep; attach adds to a table with
+    rep the column data, and finder(data of a task) gives ties(x, ys): which of the members ys
+    are linked to member x.
+    """
+    spark = members.sparkSession
+    shared.write(members, f"{at}/members")
+    members = spark.read.parquet(f"{at}/members")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for t in runs(batches, 3):
-            rep, own = t.column("rep").to_numpy(), t.column("own").to_numpy()
-            lo, hi, key = t.column("lo")[0].as_py(), t.column("hi")[0].as_py(), t.column("key")[0].as_py()
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            # The list's own pair of coordinates; pairs of documents that agree in an earlier one met there.
-            mine = int(np.flatnonzero(mix((sig[0, 0::2].astype(U64) << U64(32) | sig[0, 1::2]) ^ _B[: COORDINATES // 2]).view(np.int64) == key)[0])
-            trees = Forest(len(rep))
-            for x in range(len(rep) - 1):
-                ys = np.arange(x + 1, len(rep))
-                if lo != hi:
-                    ys = ys[own[ys] != own[x]]
-                if not len(ys):
-                    continue
-                same = sig[ys] == sig[x]
-                ok = same.sum(axis=1) >= MATCHES
-                if mine:
-                    ok &= ~(same[:, 0 : 2 * mine : 2] & same[:, 1 : 2 * mine : 2]).any(axis=1)
-                out += [(int(rep[x]), int(rep[y])) for y in ys[ok] if trees.join(x, int(y))]
+            rep, part, asks = (t.column(c).to_numpy() for c in ("rep", "part", "asks"))
+            ties, parts = finder(t.column("grp")[0].as_py(), t.column("data").to_pylist()), Parts(part)
+            late = np.flatnonzero(asks) if asks.any() else np.arange(len(rep))
+            for x in late.tolist():
+                ys = np.flatnonzero(parts.of != parts.of[x])
+                ys = ys[~asks[ys]] if asks.any() else ys[ys > x]
+                if len(ys):
+                    ys = ys[ties(x, ys)]
+                    out += [(int(rep[x]), int(rep[y])) for y in parts.tie(x, ys).tolist()] if len(ys) else []
             if len(out) > 5000:
                 yield _edges(out)
                 out = []
         yield _edges(out)
 
-    return tasks.select("key", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), "rep", F.col("_own").alias("own"), "sig").mapInArrow(count, "a bigint, b bigint")
+    def dealt(df: DataFrame) -> DataFrame:
+        rows = attach(df).repartition("grp", "block", "other").sortWithinPartitions("grp", "block", "other", "asks", "rep")
+        return rows.select("grp", "block", "other", "rep", "part", "asks", "data").mapInArrow(run, "a bigint, b bigint")
+
+    zero, no = F.lit(0), F.lit(False).alias("asks")
+    home = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    own = members.select("grp", "rep", home.alias("block"), zero.alias("other"), F.col("rep").alias("part"), no)
+    every = F.explode(F.sequence(zero, blocks - 1))
+    pivots = members.filter((F.col("n") > BLOCK) & (F.col("rep") == F.col("pivot"))).select("grp", "rep", every.alias("block"), zero.alias("other"), F.col("rep").alias("part"), no, home.alias("home"))
+    shared.write(dealt(own.unionByName(pivots.filter("block != home").drop("home"))), f"{at}/near")
+    edges = spark.read.parquet(f"{at}/near")
+    large = members.filter(F.col("n") > BLOCK)
+    if large.isEmpty():
+        return edges
+    # Large groups: what is apart from a group's largest part meets the others.
+    parts = components(edges)
+    named = large.join(parts, F.col("rep") == F.col("node"), "left").select("grp", "n", "rep", F.coalesce("root", "rep").alias("part"))
+    sizes = named.groupBy("grp", "part").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max(F.struct("c", "part"))["part"].alias("main"), (F.sum("c") - F.max("c")).alias("apart")).filter("apart > 0")
+    named = named.join(sizes, "grp")
+    shared.write(named, f"{at}/apart")
+    named = spark.read.parquet(f"{at}/apart")
+    others = F.ceil(F.col("apart") / BLOCK).cast("int")
+    meet = named.select("grp", "rep", home.alias("block"), F.explode(F.sequence(zero, others - 1)).alias("other"), "part", no)
+    ask = named.filter("part != main").select("grp", "rep", every.alias("block"), F.pmod(F.xxhash64(F.lit(1), "rep"), others).cast("int").alias("other"), "part", F.lit(True).alias("asks"))
+    shared.write(dealt(meet.unionByName(ask)), f"{at}/far")
+    return edges.unionByName(spark.read.parquet(f"{at}/far"))
+
+
+def post_keys(sig: np.ndarray) -> np.ndarray:
+    """Hashes of (coordinate, value) of signatures."""
+    return mix(sig.astype(U64) ^ _B[None, :])
+
+
+def candidate_edges(reps: DataFrame, at: str) -> DataFrame:
+    """Edges (a, b) between representatives with at least MATCHES equal coordinates, enough to tie all such.  reps: rep, sig."""
+    spark = reps.sparkSession
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+                yield pa.RecordBatch.from_arrays([pa.array(post_keys(sig).reshape(-1).view(np.int64)), pa.array(np.repeat(b.column("rep").to_numpy(), COORDINATES))], names=["key", "rep"])
+
+    posts = reps.mapInArrow(post, "key bigint, rep bigint")
+    many = posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    mine = posts.join(many, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("lists")).filter(F.size("lists") >= MATCHES)
+    prefix = mine.select("rep", F.transform(F.slice("lists", 1, F.size("lists") - (MATCHES - 1)), lambda x: x["key"]).alias("prefix"))
+    shared.write(prefix, f"{at}/prefix")
+    prefix = spark.read.parquet(f"{at}/prefix")
+    each = prefix.select("rep", F.explode("prefix").alias("grp"))
+    lists = each.groupBy("grp").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).filter("n > 1")
+    data = reps.join(prefix, "rep").select(F.col("rep").alias("_rep"), F.struct("sig", "prefix").alias("data"))
 
+    def finder(key: int, rows: list[dict]):
+        sig = np.frombuffer(b"".join([r["sig"] for r in rows]), np.uint32).reshape(-1, COORDINATES)
+        keys = post_keys(sig)
+        listed = np.stack([np.isin(k, np.array(r["prefix"], np.int64).view(U64)) for k, r in zip(keys, rows, strict=True)])
+        here = int(np.flatnonzero(keys[0].view(np.int64) == key)[0])  # the list's own coordinate
 
-def confirmed_edges(members: DataFrame, k: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
-    """Spanning edges of links confirmed on full sets.  members: grp, n (its members), rep, text."""
+        def ties(x: int, ys: np.ndarray) -> np.ndarray:
+            same = sig[ys] == sig[x]
+            ok = same.sum(axis=1) >= MATCHES
+            return ok & ~(same[:, :here] & listed[ys, :here] & listed[x, :here]).any(axis=1)
+
+        return ties
+
+    return link(each.join(lists, "grp").select("grp", "n", "pivot", "rep"), lambda df: df.join(data, F.col("rep") == F.col("_rep")), finder, at)
+
+
+def confirmed_edges(members: DataFrame, texts: DataFrame, at: str, k: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
+    """Edges of links confirmed on full sets.  members: grp, n, pivot, rep, set_lo, set_hi; texts: doc_id, text, mark."""
+    spark = members.sparkSession
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in pieces(whole, "text"):
-                packed = pa.array([s.tobytes() for s in shingle_sets(b.column("text"), k)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], packed], names=["grp", "n", "rep", "sh"])
-
-    full = members.select("grp", "n", "rep", "text").mapInArrow(sets, "grp bigint, n bigint, rep bigint, sh binary")
-    tasks = in_blocks(full, "grp", "n", "rep")
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, 3):
-            rep, own = t.column("rep").to_numpy(), t.column("own").to_numpy()
-            cross = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
-            sh = [np.frombuffer(x, U64) for x in t.column("sh").to_pylist()]
-            size = np.array([len(s) for s in sh])
-            first = np.cumsum([0, *size])
-            _, ids = np.unique(np.concatenate(sh), return_inverse=True)
-            order = np.argsort(ids, kind="stable")
-            doc = np.repeat(np.arange(len(sh)), size)[order]
-            at = np.searchsorted(ids[order], np.arange(int(ids.max()) + 2))
-            trees, out = Forest(len(rep)), []
-            for x in range(len(rep) - 1):
+                sh = shingle_sets(b.column("text"), k)
+                # A repeated id has other texts too.
+                ok = [i for i, (s, want) in enumerate(zip(sh, zip(b.column("set_lo").to_pylist(), b.column("set_hi").to_pylist(), strict=True), strict=True)) if set_hash(s) == want]
+                yield pa.RecordBatch.from_arrays([b.column("rep").take(pa.array(ok, pa.int64())), pa.array([sh[i].tobytes() for i in ok], pa.binary())], names=["_rep", "data"])
+
+    # The members have no bound, so that the join is a merge join at every size.
+    wanted = members.select("rep", "doc", "set_lo", "set_hi")
+    found = texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("doc")).dropDuplicates(["rep", "mark"]).select("rep", "set_lo", "set_hi", "text")
+    shared.write(found.mapInArrow(sets, "_rep bigint, data binary"), f"{at}/sets")
+    data = spark.read.parquet(f"{at}/sets")
+
+    def finder(grp: int, rows: list[bytes]):
+        sh = [np.frombuffer(x, U64) for x in rows]
+        size = np.array([len(s) for s in sh])
+        first = np.cumsum([0, *size])
+        _, ids = np.unique(np.concatenate(sh), return_inverse=True)
+        order = np.argsort(ids, kind="stable")
+        doc = np.repeat(np.arange(len(sh)), size)[order]
+        start = np.searchsorted(ids[order], np.arange(int(ids.max()) + 2))
+
+        def ties(x: int, ys: np.ndarray) -> np.ndarray:
+            if len(ys) < 4:
+                both = np.array([len(np.intersect1d(sh[x], sh[y], assume_unique=True)) for y in ys])
+            else:
                 mine = ids[first[x] : first[x + 1]]
-                lens = at[mine + 1] - at[mine]
-                spots = np.repeat(at[mine] - np.cumsum(lens) + lens, lens) + np.arange(int(lens.sum()))
-                both = np.bincount(doc[spots], minlength=len(rep))
-                ok = 100 * both >= similar * (size + size[x] - both)
-                ok[: x + 1] = False
-                if cross:
-                    ok &= own != own[x]
-                out += [(int(rep[x]), int(rep[y])) for y in np.flatnonzero(ok) if trees.join(x, int(y))]
-            yield _edges(out)
+                lens = start[mine + 1] - start[mine]
+                spots = np.repeat(start[mine] - np.cumsum(lens) + lens, lens) + np.arange(int(lens.sum()))
+                both = np.bincount(doc[spots], minlength=len(sh))[ys]
+            return 100 * both >= similar * (size[ys] + size[x] - both)
+
+        return ties
 
-    return tasks.select("grp", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), "rep", F.col("_own").alias("own"), "sh").mapInArrow(confirm, "a bigint, b bigint")
+    return link(members.select("grp", "n", "pivot", "rep"), lambda df: df.join(data.hint("merge"), F.col("rep") == F.col("_rep")), finder, at)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,7 +292,7 @@ def components(edges: DataFrame) -> DataFrame:
     at = shared.new_dir(spark, "edges")
 
     def put(df: DataFrame, step: int) -> DataFrame:
-        df.write.parquet(f"{at}/{step}")
+        shared.write(df, f"{at}/{step}")
         return spark.read.parquet(f"{at}/{step}")
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -270,33 +321,46 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable over links) and kept (doc_id = component_id)."""
+def _judged(docs: DataFrame, key: str, text: str, k: int, similar: int) -> DataFrame:
+    """doc_id, mark (hash of the text), n_shingles, component_id, kept."""
     spark = docs.sparkSession
     at = shared.new_dir(spark, "neardup")
-    src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    describe(src, k).write.parquet(f"{at}/sets")
-    sets = spark.read.parquet(f"{at}/sets")
-    full = sets.filter("n_shingles > 0")
+    src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("mark"))
+    describe(src, k).write.parquet(f"{at}/described")
+    sets = spark.read.parquet(f"{at}/described")
+    full = sets.filter("n_shingles > 0 and doc_id is not null")
     on = ["set_lo", "set_hi", "n_shingles"]
-    full.groupBy(*on).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")).write.parquet(f"{at}/reps")
-    reps = spark.read.parquet(f"{at}/reps")
-    groups = components(candidate_edges(reps.select("rep", "sig")))
-    members = groups.select("node", F.col("root").alias("grp")).unionAll(groups.select(F.col("root").alias("node"), F.col("root").alias("grp")).distinct())
-    members.write.parquet(f"{at}/members")
-    members = spark.read.parquet(f"{at}/members")
-    sized = members.join(members.groupBy("grp").agg(F.count("*").alias("n")), "grp").select("grp", "n", F.col("node").alias("rep"))
-    # A repeated id gives one text.  The members have no bound, so that the join is a merge join at every size.
-    texts = src.join(sized.hint("merge"), src["doc_id"] == sized["rep"]).dropDuplicates(["rep"])
-    roots = components(confirmed_edges(texts.select("grp", "n", "rep", "text"), k, similar))
-    # Few representatives have a root other than themselves; equal sets then share their representative's.
-    moved = reps.select(*on, "rep").join(roots, F.col("rep") == F.col("node"), "left").select(*on, F.coalesce("root", "rep").alias("component_id"))
-    named = full.select("doc_id", *on).join(moved, on).select("doc_id", "n_shingles", "component_id")
-    alone = sets.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    shared.write(full.groupBy(*on).agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")), f"{at}/reps")
+    reps = spark.read.parquet(f"{at}/reps").withColumn("rep", F.col("doc"))
+    # Of texts that share their smallest id one goes by that id, the others by a hash of their own.
+    twice = reps.groupBy("doc").agg(F.count("*").alias("c"), F.min("set_lo").alias("least")).filter("c > 1").drop("c")
+    odd = not twice.isEmpty()
+    if odd:
+        named = F.when(F.col("least").isNull() | (F.col("least") == F.col("set_lo")), F.col("doc")).otherwise(-1 - (F.xxhash64("doc", *on).bitwiseAND(F.lit((1 << 62) - 1))))
+        shared.write(reps.join(twice, "doc", "left").withColumn("rep", named).drop("least"), f"{at}/named")
+        reps = spark.read.parquet(f"{at}/named")
+    groups = components(candidate_edges(reps.select("rep", "sig"), f"{at}/lists"))
+    tied = groups.select(F.col("node").alias("rep"), F.col("root").alias("grp")).unionAll(groups.select(F.col("root").alias("rep"), F.col("root").alias("grp")).distinct())
+    sized = tied.join(tied.groupBy("grp").agg(F.count("*").alias("n")), "grp")
+    members = sized.join(reps.drop("sig", "n_shingles"), "rep").select("grp", "n", F.col("grp").alias("pivot"), "rep", "doc", "set_lo", "set_hi")
+    shared.write(members, f"{at}/groups")
+    roots = components(confirmed_edges(spark.read.parquet(f"{at}/groups"), src, f"{at}/links", k, similar))
+    moved = reps.select(*on, "rep", "doc").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
+    if odd:
+        moved = moved.join(moved.groupBy("root").agg(F.min("doc").alias("component_id")), "root")
+    else:
+        moved = moved.withColumn("component_id", F.col("root"))
+    named = full.select("doc_id", "mark", *on).join(moved.select(*on, "component_id"), on).select("doc_id", "mark", "n_shingles", "component_id")
+    alone = sets.filter("n_shingles = 0 or doc_id is null").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"))
     return named.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable over links) and kept (doc_id = component_id)."""
+    return _judged(docs, key, text, k, similar).drop("mark")
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The table without documents that are near-duplicates of one with a smaller id."""
-    gone = near_duplicates(docs, key, text).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    gone = _judged(docs, key, text, SHINGLE, SIMILAR).filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
+    return docs.join(gone, (docs[key] == gone["_gone"]) & (F.xxhash64(docs[text]) == gone["_mark"]), "left_anti")

@@ -485,6 +485,16 @@ def test_near_duplicates_of_odd_tables(spark):
     assert {r.doc_id for r in neardup.one_of_each(odd_docs(spark)).collect()} == set(range(n - 1))
 
 
+def test_null_and_repeated_ids_of_near_duplicates(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(None, a), (None, None), (7, a), (7, b), (7, b), (9, b + " end"), (3, c), (8, a + " tail"), (7, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in neardup.near_duplicates(d).collect())
+    assert got == sorted([(0, 36, 0, True), (0, 0, 0, True), (7, 36, 7, True), (7, 36, 7, True), (7, 36, 7, True), (9, 37, 7, False), (3, 36, 3, True), (8, 37, 7, False), (7, 0, 7, True)])
+    left = sorted((r.doc_id or 0, r.text or "") for r in neardup.one_of_each(d).collect())
+    assert left == sorted((i or 0, t or "") for i, t in rows if i not in (8, 9))
+
+
 def test_components_of_chains_and_stars(spark):
     e = [(i, i + 1) for i in range(0, 30)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r.node: r.root for r in neardup.components(spark.createDataFrame(e, "a long, b long")).collect()}
