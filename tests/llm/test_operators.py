@@ -404,13 +404,57 @@ def test_quality_of_odd_tables(spark):
 
 
 def test_multi_index_finds_all_within_the_radius():
-    items = [f"word{i} " * 3 + " ".join(f"x{i}y{j}" for j in range(20)) for i in range(50)]
-    index = decontam.ItemIndex(list(range(50)), items)
     rng = np.random.default_rng(0)
-    for i in range(50):
-        flips = rng.choice(64, decontam.RADIUS, replace=False)
-        p = index.prints[i] ^ np.uint64(sum(1 << int(b) for b in flips))
-        assert i in {x for _, x, _ in index.within(np.array([p], np.uint64))}
+    prints = rng.integers(0, 2**63, 300).astype(np.uint64)
+    asked = np.concatenate([prints[:100] ^ np.array([sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for k in rng.integers(0, 30, 100)], np.uint64), rng.integers(0, 2**63, 5000).astype(np.uint64)])
+    mine, theirs = np.arange(300) % 3, np.concatenate([np.arange(100) % 3, rng.integers(0, 3, 5000)])
+    want = {(k, i): int(x) for k, p in enumerate(asked) for i, x in enumerate(np.bitwise_count(prints ^ p)) if x <= decontam.RADIUS and mine[i] == theirs[k]}
+    row, item, d = decontam.MultiIndex(prints, mine).within(asked, theirs)
+    assert dict(zip(zip(row.tolist(), item.tolist(), strict=True), d.tolist(), strict=True)) == want
+
+
+def _items_and_edits(seed, n_items=40):
+    rng = random.Random(seed)
+    items = [" ".join(f"q{rng.randint(0, 3000)}" for _ in range(rng.choice([6, 9, 15, 22, 22, 40, 64]))) for _ in range(n_items)]
+    docs = []
+    for k in range(400):
+        w = [f"z{rng.randint(0, 400)}" for _ in range(rng.randint(0, 40))]
+        for _ in range(rng.randint(0, 2)):
+            q = rng.choice(items).split()
+            for _ in range(rng.randint(0, 3)):
+                i = rng.randrange(len(q))
+                q[i : i + 1] = rng.choice([[], [q[i], "new"], ["other"]])
+            w += q[: rng.choice([len(q), len(q), max(1, len(q) * 3 // 4)])] + [f"z{rng.randint(0, 400)}" for _ in range(rng.randint(0, 20))]
+        docs.append(" ".join(w))
+    return items, docs
+
+
+def _brute_windows(index, words):
+    """(item, start, similarity) of all item-sized windows that are similar enough."""
+    s = decontam._shingles(words)
+    for i, m in enumerate(index.size.tolist()):
+        width = max(1, m - 4)
+        for a in range(max(1, len(s) - width + 1)) if len(words) >= 5 else []:
+            if np.isin(s[a : a + width], index.shingles[i]).any() and (sim := index.similarity(i, s[a : a + width])) >= decontam.SIMILAR:
+                yield i, a, sim
+
+
+def test_decontamination_equals_all_windows_and_recall_of_the_fingerprints(spark):
+    items, docs = _items_and_edits(5)
+    index = decontam.ItemIndex(list(range(len(items))), items)
+    want, near, total = {}, 0, 0
+    for d, t in enumerate(docs):
+        h, _ = decontam._words(pa.array([t]))
+        s = decontam._shingles(h)
+        for i, a, sim in _brute_windows(index, h):
+            want[d, i] = max(want.get((d, i), 0), sim)
+            total += 1
+            near += np.bitwise_count(index.print_of(s[a : a + max(1, index.size[i] - 4)]) ^ index.prints[i]) <= decontam.RADIUS
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.matches(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    # The candidates come from fingerprints alone, so that this is their recall.
+    assert total > 300 and near / total >= 0.98
+    assert set(got) <= set(want) and len(got) >= 0.98 * len(want)
+    assert sum(abs(got[k] - want[k]) < 1e-9 for k in got) >= 0.98 * len(got)
 
 
 def test_decontamination(spark):
