@@ -8,8 +8,9 @@ Nothing else is searched, so that cost follows the number of seed hits, not noti
 
 Texts are lower-cased A-Z; words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, and matching runs over
 the words joined by single spaces, so that punctuation and line breaks don't hide a notice.  Null
-and empty texts have no words, no labels, score 0 and null positions.  Repeated rows each get
-their result, an empty table an empty one; other columns are not read.
+and empty texts have no words, no labels, score 0 and null positions.  Repeated rows, also with a
+null id, each get their result, an empty table an empty one; other columns are not read.  Of
+notices that overlap all are reported; of one notice's alignments in a place the best.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ class NoticeFinder:
         found = []
         for i, places in starts.items():
             notice, label, k = self.notices[i]
-            done = -1
+            done = -len(notice)  # an edit before the seed can put the start before the text's
             for s in sorted(places):
                 if s < done:
                     continue
@@ -139,7 +140,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                     if not base and not fuzzy:
                         vals = (n, 0, None, None, "", "", 0.0, [])
                     else:
-                        word_at = lambda c, j=joined: j.count(" ", 0, c)
+                        flat = np.frombuffer(joined.encode(), np.uint8)
+                        gaps = np.cumsum((flat & 0xC0) != 0x80)[flat == 32] - 1  # characters that are spaces
+                        word_at = lambda c, g=gaps: int(np.searchsorted(g, c))
                         at = sorted(word_at(c) for c, _, _ in base)
                         spans = [(word_at(c), word_at(c) + p.count(" ") + 1, label, 0) for c, p, label in base]
                         spans += [(word_at(a), word_at(z - 1) + 1, label, edits) for a, z, label, _, edits in fuzzy]

@@ -568,6 +568,37 @@ def test_license_edits_in_first_and_last_letters(spark):
     assert [(s.start_word, s.end_word) for r in got[:2] for s in r.spans] == [(2, 5), (1, 6)]
 
 
+def _mutated(rng, notice, k):
+    c = list(notice)
+    for _ in range(rng.randint(0, k + 1)):
+        i, x = rng.randrange(len(c)), rng.choice("abcdefghij klmno")
+        c[i : i + 1] = rng.choice([[x], [x, c[i]], [] if len(c) > 1 else [x]])
+    return " ".join("".join(c).split())
+
+
+def test_license_scan_equals_exhaustive_search(spark):
+    import regex
+
+    rng = random.Random(11)
+    filler = lambda: " ".join("".join(rng.choice("abcdelnoprstué") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(0, 9)))
+    texts = [" ".join(x for x in (filler(), _mutated(rng, *rng.choice(licenses.NOTICES)[::2]), filler(), rng.choice([*licenses.PHRASES, ""]), filler()) if x) for _ in range(400)] + list(sample(spark).values())
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    patterns = [(label, regex.compile(rf"(?<= )(?:{regex.escape(n, literal_spaces=True)}){{e<={k}}}(?= )")) for n, label, k in licenses.NOTICES]
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+        at = sorted((j, label) for p, label in licenses.PHRASES.items() for j in range(len(w)) if w[j : j + p.count(" ") + 1] == p.split())
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None)
+        assert r.base_labels == ",".join(sorted({x for _, x in at}))
+        assert r.labels == ",".join(sorted({x for _, x in at} | {label for label, p in patterns if p.search(f" {' '.join(w)} ")}))
+
+
+def test_long_text_of_many_phrases(spark):
+    t = "é mit license, " * 60000
+    r = licenses.scan(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
+    assert (r.n_base, r.first_word, r.last_word) == (60000, 1, 179998)
+
+
 def test_seeds_cover_the_notice():
     for n, _, k in licenses.NOTICES:
         parts = licenses.split_seeds(n, k)
