@@ -357,6 +357,48 @@ def test_secrets_are_found_and_redacted(spark):
     assert secret_scan.redact(odd_docs(spark), forest).columns == odd_docs(spark).columns and secret_scan.findings(empty_docs(spark), forest).count() == 0
 
 
+def test_candidates_equal_a_plain_search(spark):
+    import regex
+
+    rng = random.Random(5)
+    pieces = ["token", "password", "API_KEY", "=", ": ", '"', "'", " ", "\n", "a1" * 9, "secret!x#Y", "https://u:", "@", "é", "abcdefgh", "0123456789abcdef", "==", "-", "hunter2hunter"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 60))) for _ in range(300)] + list(sample(spark).values()) + ODD
+    always = secret_scan.Forest([1.0])
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(list)
+    for r in secret_scan.findings(d, always).collect():
+        got[r.doc_id].append((r.start_char, r.end_char, r.secret))
+    for i, t in enumerate(texts):
+        assert sorted(got[i]) == [(*m.span(), m.group()) for m in regex.finditer(secret_scan.CANDIDATE, t or "")]
+
+
+def test_secrets_by_form(spark):
+    rng = random.Random(99)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    hexes, alnum = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    forms = {
+        "quoted": lambda: ('token = "', pick(hexes, 40), '"'), "bare": lambda: ("token=", pick(hexes, 39) + "1", ""), "upper": lambda: ("API_KEY=", pick(hexes, 31) + "2", ""), "aws": lambda: ("export AWS_SECRET_ACCESS_KEY=", pick(alnum + "/+", 39) + "3", ""),
+        "bearer": lambda: ("Authorization: Bearer ", pick(alnum, 31) + "4", ""), "url": lambda: ("https://u:", pick(alnum, 19) + "5", "@host.org/x"), "live": lambda: ("key ", "sk_live_" + pick(alnum, 23) + "6", ""), "password": lambda: ("password: ", pick(alnum, 12), ""), "pwd": lambda: ("pwd='", pick(alnum + "!#%", 10), "'"),
+    }
+    clean = [lambda: "password: required", lambda: "the token = value", lambda: "commit " + pick(hexes, 40), lambda: "sha256: " + pick(hexes, 64), lambda: "mail a.b99@mail1.example.com", lambda: "see https://www.example.com/docs/12345.html now", lambda: "call 0049 1234567890123456", lambda: "secret: theandering"]
+    rows, kinds = [], []
+    for _ in range(40):
+        for k, f in forms.items():
+            left, secret, right = f()
+            kinds.append((k, secret))
+            rows.append((len(rows), f"The ander of re. {left}{secret}{right} and then on"))
+        for f in clean:
+            kinds.append(("clean", None))
+            rows.append((len(rows), f"The ander {f()} and then on"))
+    found = defaultdict(set)
+    for r in secret_scan.findings(spark.createDataFrame(rows, "doc_id long, text string"), secret_scan.train(spark)).collect():
+        found[r.doc_id].add(r.secret)
+    recall = {k: np.mean([s in found[i] for i, (x, s) in enumerate(kinds) if x == k]) for k in forms}
+    print(recall, sum(bool(found[i]) for i, (x, _) in enumerate(kinds) if x == "clean") / 320)
+    assert min(recall.values()) >= 0.9
+    assert sum(bool(found[i]) for i, (x, _) in enumerate(kinds) if x == "clean") <= 0.05 * 320
+
+
 # 6: quality
 
 
