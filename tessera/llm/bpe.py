@@ -35,6 +35,8 @@ _PLAIN = re.compile("( ?[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]+)([.,!?;:#$%&*
 _RUN = re.compile(r"\s\s")
 #: Entries that a worker keeps at most in each of its caches; beyond, it starts anew.
 CACHE = 250_000
+#: Characters of the longest chunk that is kept in a cache, so that entries bound the bytes.
+LONGEST = 64
 
 
 def byte_chars() -> dict[str, int]:
@@ -218,7 +220,7 @@ class BpeCodec:
         local = {}
         for p, ids in zip(fresh, self.encode_pretokens(fresh), strict=True):
             entry = (",".join(map(str, ids)).encode(), self.decode_ids(ids))
-            (known if len(p) <= 64 else local)[p.decode("utf-8", "surrogatepass")] = entry
+            (known if len(p) <= LONGEST else local)[p.decode("utf-8", "surrogatepass")] = entry
         got = [[known[p] if p in known else local[p] for p in ps] for ps in cut]
         return {s: (b",".join([x for x, _ in g]), b"".join([y for _, y in g])) for s, g in zip(chunks, got, strict=True)}
 
@@ -235,7 +237,7 @@ class BpeCodec:
             if t:
                 for line in t.split("\n"):
                     fresh.update(line.split(" ")[1:])
-        fresh = [w for w in fresh if w not in spaced and len(w) <= 64]
+        fresh = [w for w in fresh if w not in spaced and len(w) <= LONGEST]
         got = self._learn([" " + w for w in fresh])
         spaced.update((s[1:], e) for s, e in got.items())
 
@@ -254,18 +256,22 @@ class BpeCodec:
                     bare[head_key] = self._chunk("\n")
                 got.append(bare[head_key])
             if head:
-                if head not in bare:
-                    if len(bare) > CACHE:
-                        bare.clear()
-                    bare[head] = self._chunk(head)
-                got.append(bare[head])
+                entry = bare.get(head)
+                if entry is None:
+                    entry = self._chunk(head)
+                    if len(head) <= LONGEST:
+                        if len(bare) > CACHE:
+                            bare.clear()
+                        bare[head] = entry
+                got.append(entry)
             try:
                 got += [spaced[w] for w in words]
             except KeyError:
                 if len(spaced) > CACHE:
                     spaced.clear()
-                spaced.update((s[1:], e) for s, e in self._learn([" " + w for w in set(words) if w not in spaced]).items())
-                got += [spaced[w] for w in words]
+                fresh = {s[1:]: e for s, e in self._learn([" " + w for w in set(words) if w not in spaced]).items()}
+                spaced.update((w, e) for w, e in fresh.items() if len(w) <= LONGEST)
+                got += [fresh[w] if w in fresh else spaced[w] for w in words]
         return [x for x, _ in got], [y for _, y in got]
 
     def encode_parts(self, text: str | None) -> tuple[bytes, bytes]:

@@ -6,8 +6,9 @@ rows per (host, line) is its number of documents, which partial aggregation sums
 shuffle.  Lines above the limit of their host are removed and a document that loses more than
 `max_removed` of its words, or keeps fewer than `min_kept` words, is depleted and rejected.
 
-Null texts count as empty: no words, base_failed is true.  A null host is a host of its own.
-Empty tables give empty results; repeated rows are documents of their own.
+Null texts count as empty: no words, base_failed is true.  A null host counts as the empty one, also
+in the SQL.  A row with a null id is judged as any other.  Empty tables give empty results; repeated
+rows are documents of their own; of columns with clashing names only the three named are read.
 """
 
 from __future__ import annotations
@@ -92,6 +93,13 @@ def common_lines(uses: DataFrame, max_docs: int) -> DataFrame:
     return uses.filter("first").groupBy("_host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs)
 
 
+def of_common_lines(uses: DataFrame, max_docs: int) -> DataFrame:
+    """The uses of common lines.  Few lines are common, but one of them may have a third of all uses: both sides are dealt over salts."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    common = common_lines(uses, max_docs).select("_host", "line", salts)
+    return uses.withColumn("_salt", F.pmod(F.xxhash64("_id", "place"), F.lit(SALTS)).cast("int")).join(common, ["_host", "line", "_salt"]).drop("_salt")
+
+
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 20, max_removed: float = 0.5, min_kept: int = 30) -> DataFrame:
     """Per document: base counts, base_failed, n_removed_words, depleted and kept.
 
@@ -101,10 +109,7 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     src = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.col(host), F.lit("")).alias("_host")).withColumn("_mark", F.xxhash64("_text"))
     base = base_rules(src).drop("_text")
     uses = line_uses(src)
-    # Few lines are common, but one of them may have a third of all uses: both sides are dealt over salts.
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    common = common_lines(uses, max_docs).select("_host", "line", salts)
-    hit = uses.withColumn("_salt", F.pmod(F.xxhash64("_id", "place"), F.lit(SALTS)).cast("int")).join(common, ["_host", "line", "_salt"])
+    hit = of_common_lines(uses, max_docs)
     # Repeated rows use the same places; each row loses them once.
     lost = hit.dropDuplicates(["_id", "_mark", "_host", "place"]).groupBy("_id", "_mark", "_host").agg(F.sum("words").alias("lost"))
     on = [base[c].eqNullSafe(lost[c]) for c in ("_id", "_mark", "_host")]
@@ -121,7 +126,7 @@ def without_common_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     """Adds `cleaned`: the text without its common lines.  Rows whose lines are all rare keep their text as it is."""
     src = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.col(host), F.lit("")).alias("_host")).withColumn("_mark", F.xxhash64("_text"))
     uses = line_uses(src)
-    bad = uses.join(common_lines(uses, max_docs), ["_host", "line"], "left_semi").groupBy("_id", "_mark", "_host").agg(F.collect_set("line").alias("_bad"))
+    bad = of_common_lines(uses, max_docs).groupBy("_id", "_mark", "_host").agg(F.collect_set("line").alias("_bad"))
     t, h = F.coalesce(docs[text], F.lit("")), F.coalesce(docs[host], F.lit(""))
     on = docs[key].eqNullSafe(bad["_id"]) & (F.xxhash64(t) == bad["_mark"]) & (h == bad["_host"])
     keep = F.concat_ws("\n", F.filter(F.split(t, "\n"), lambda x: ~F.array_contains(bad["_bad"], F.xxhash64(normalised(x)))))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 #: Names that a secret is assigned to, and candidates behind them or of themselves (fixed values).
 NAMES = "token|secret|passwd|password|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|secret[_-]?key|credentials?|auth"
 CANDIDATE = (
-    r"(?<=[=:\"' ])(?<=(?i:" + NAMES + r")[\"']?[ ]{0,2}[=:][ ]{0,2}[\"']?)[^\s\"'`,;<>()\[\]{}]{8,}"
+    r"(?<=[=:][ ]{0,2}[\"']?)(?<=(?i:" + NAMES + r")[\"']?[ ]{0,2}[=:][ ]{0,2}[\"']?)[^\s\"'`,;<>()\[\]{}]{8,}"
     r"|(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z+/_.\-]*[0-9])[A-Za-z0-9+/_.\-]{16,}={0,2}"
 )
 TRAIN_FINDINGS, TREES, DEPTH, LEFT, RIGHT = 5000, 15, 6, 48, 24

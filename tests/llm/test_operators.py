@@ -115,6 +115,18 @@ def test_bpe_equals_the_library(spark, seed):
     assert c.decode([c.encode("é")[0]][:1]) is not None
 
 
+def test_bpe_keeps_no_long_chunks():
+    from tokenizers import Tokenizer
+
+    lib, c = Tokenizer.from_file(queries.BYTE_BPE), bpe.BpeCodec(queries.BYTE_BPE)
+    rng = random.Random(8)
+    long = ["".join(rng.choice("abcdefghij0123+/") for _ in range(5000)) for _ in range(6)]
+    text = f"{long[0]}\n{long[1]} {long[2]}\nword {long[3]} {long[4]} word\n\n{long[5]}"
+    c.prime([text])
+    assert c.encode(text) == lib.encode(text, add_special_tokens=False).ids
+    assert max(len(w) for k in (c._bare, c._spaced, c._pretokens) for w in k) <= bpe.LONGEST
+
+
 def test_bpe_tables(spark):
     d = odd_docs(spark)
     e = bpe.decode(bpe.encode(d, queries.BYTE_BPE), queries.BYTE_BPE)
