@@ -478,8 +478,7 @@ def tile_anti(spark, sf):
 @query("patch_gate", f"WITH {_BULK} SELECT floor(x/10)::BIGINT AS tile_x, floor(y/10)::BIGINT AS tile_y, count(*) AS n FROM bulk GROUP BY 1, 2 HAVING count(*) >= 100")
 def patch_gate(spark, sf):
     """Tiles of at least 100 points."""
-    d = bulk(spark, sf).groupBy(F.floor(F.col("x") / 10).cast("bigint").alias("tile_x"), F.floor(F.col("y") / 10).cast("bigint").alias("tile_y"))
-    return d.agg(F.count("*").alias("n")).filter("n >= 100")
+    return pt.patches(bulk(spark, sf), 10.0, 100)
 
 
 # The filter, over recordings side by side

@@ -23,6 +23,21 @@ def running_stats(df: DataFrame, key: str, order: list[str], value: str) -> Data
     return df.withColumns({"run_n": F.count(value).over(w), "run_mean": F.avg(value).over(w), "run_var": F.var_pop(value).over(w)})
 
 
+def running_fold(values: Column) -> Column:
+    """Mean and variance of an ordered array by the recurrences m += (x - m) / n and v = v (n - 1) / n + (x - m)(x - m') / n; m' is the mean before.
+
+    An aggregate of the array in the order that it has: exact where the result depends on the order.
+    """
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("var"))
+
+    def step(s: Column, x: Column) -> Column:
+        n = s["n"] + 1
+        mean = s["mean"] + (x - s["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["var"] * (n - 1) / n + (x - mean) * (x - s["mean"]) / n).alias("var"))
+
+    return F.aggregate(F.transform(values, lambda x: x.cast("double")), zero, step)
+
+
 def median_by_norm(df: DataFrame, key: str, xyz: tuple[str, str, str], tie: str) -> DataFrame:
     """Vector of middle norm of each key; the mean of the two middle vectors where their number is even."""
     n2 = sum((F.col(c) * F.col(c) for c in xyz[1:]), F.col(xyz[0]) * F.col(xyz[0]))

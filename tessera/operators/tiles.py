@@ -25,6 +25,14 @@ def nearest(tiles: DataFrame, east: float, north: float, k: int, within: float,
     return tiles.withColumn("d2", d2).filter(F.col("d2") < within * within).orderBy("d2", name).limit(k)
 
 
+def required(names: DataFrame, tiles: DataFrame, name: str = "filename") -> DataFrame:
+    """The tiles of all asked names, in order of names; a name that the catalogue lacks raises an error when it is read."""
+    known = tiles.withColumn("_known", F.lit(True))
+    found = names.select(name).distinct().join(known, name, "left")
+    sure = F.when(F.col("_known"), F.col(name)).otherwise(F.raise_error(F.concat(F.lit("no such tile: "), F.col(name))).cast("string"))
+    return found.withColumn(name, sure).drop("_known").orderBy(name)
+
+
 def fresh(tiles: DataFrame, recent: DataFrame, name: str = "filename") -> DataFrame:
     """Tiles that are not among the recent ones."""
     return tiles.join(recent.select(name).distinct(), name, "left_anti")

@@ -30,6 +30,12 @@ def positions(fixes: DataFrame, key: str, order: list[str], n: int = 10, limit:
     return d.filter(keep)
 
 
+def paired(fixes: DataFrame, poses: DataFrame, by: list[str]) -> DataFrame:
+    """Satellite positions (east, north, up) beside the filter's (mx, my, mz) of the same scans."""
+    m = poses.select(*by, F.col("px").alias("mx"), F.col("py").alias("my"), F.col("pz").alias("mz"))
+    return fixes.join(m, by)
+
+
 def calibration_pairs(pairs: DataFrame, key: str, order: list[str], start: float = 0.5, distance: float = 30.0) -> DataFrame:
     """Pairs (mx, my, mz; east, north, up) from the first movement until the calibration distance is reached, that row included."""
     m = [F.col(c) for c in ("mx", "my", "mz")]

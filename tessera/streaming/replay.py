@@ -52,6 +52,13 @@ def ready(scans: DataFrame, samples: DataFrame, late: str = "1 minute") -> DataF
     return a.join(b, F.expr("b.ts > a.ts_begin AND b.ts <= a.ts_end"))
 
 
+def stop_all(spark: SparkSession, wait: int = 60) -> None:
+    """Stops every running stream of the session after the batch at hand; a restart goes on from the checkpoint."""
+    for q in spark.streams.active:
+        q.stop()
+        q.awaitTermination(wait)
+
+
 def run_available(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Processes all that is there and stops."""
     df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
