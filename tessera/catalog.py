@@ -218,7 +218,14 @@ def running_stats(spark, sf):
     return d.select("event_id", "run_n", r6(F.col("run_mean") + 3.3e-9, "run_mean"), r6(F.col("run_var") + 3.3e-7, "run_var", 4))
 
 
-@query("motion_gate")
+_GATE = f"""WITH RECURSIVE {_STREAMS}, o AS (SELECT user_id, event_id, value AS x, k AS y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM streams),
+g AS (SELECT user_id, event_id, n, x AS lx, y AS ly, true AS ok FROM o WHERE n = 1
+UNION ALL SELECT o.user_id, o.event_id, o.n, CASE WHEN m.far THEN o.x ELSE g.lx END, CASE WHEN m.far THEN o.y ELSE g.ly END, m.far
+FROM g JOIN o ON o.user_id = g.user_id AND o.n = g.n + 1, LATERAL (SELECT (o.x - g.lx) * (o.x - g.lx) + (o.y - g.ly) * (o.y - g.ly) > 10000 AS far) m)
+SELECT user_id, event_id FROM g WHERE ok"""
+
+
+@query("motion_gate", _GATE)
 def motion_gate(spark, sf):
     """F15, ST13: rows that moved enough since the last accepted one (state, not a lag)."""
     d = streams(spark, sf).select(F.col("user_id"), "event_id", F.col("value").alias("x"), F.col("k").alias("y"))
@@ -417,7 +424,19 @@ def gnss_trajectory(spark, sf):
     return w.select("event_id", *[r6(c, c, 3) for c in ("wx", "wy", "wz")])
 
 
-@query("lla_to_utm")
+def _utm_sql() -> str:
+    n = geo.FLATTENING / (2 - geo.FLATTENING)
+    c, scale = 2 * math.sqrt(n) / (1 + n), 0.9996 * geo.A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    series = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
+    east = " + ".join(["eta", *(f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(series, 1))])
+    north = " + ".join(["xi", *(f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(series, 1))])
+    return f"""WITH {_STREAMS}, a AS (SELECT event_id, 45 + value / 10000 AS lat, 9 + k / 1000 AS lon FROM streams),
+b AS (SELECT *, (floor((lon + 180) / 6) + 1)::INT AS zone, radians(lat) AS p FROM a), c AS (SELECT *, radians(lon - (zone * 6 - 183)) AS q, sinh(atanh(sin(p)) - {c!r} * atanh({c!r} * sin(p))) AS t FROM b),
+d AS (SELECT *, atan2(t, cos(q)) AS xi, atanh(sin(q) / sqrt(1 + t * t)) AS eta FROM c)
+SELECT event_id, zone, round(500000 + {scale!r} * ({east}), 3) + 0.0 AS easting, round({scale!r} * ({north}), 3) + 0.0 AS northing FROM d"""
+
+
+@query("lla_to_utm", _utm_sql())
 def lla_to_utm(spark, sf):
     """UTM zone, easting and northing."""
     d = streams(spark, sf).select("event_id", (45 + F.col("value") / 10000).alias("lat"), (9 + F.col("k") / 1000).alias("lon"))

@@ -35,7 +35,12 @@ def utm(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
     n = FLATTENING / (2 - FLATTENING)
     radius = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
-    zone = F.floor((lon + 180) / 6).cast("int") + 1
+    # Zones are 6 degrees wide, but for the south-west of Norway and for Svalbard.
+    plain = F.floor((lon + 180) / 6).cast("int") + 1
+    norway = (lat >= 56) & (lat < 64) & (lon >= 3) & (lon < 12)
+    svalbard = (lat >= 72) & (lat < 84) & (lon >= 0) & (lon < 42)
+    far_north = F.when(lon < 9, 31).when(lon < 21, 33).when(lon < 33, 35).otherwise(37)
+    zone = F.when(norway, F.lit(32)).when(svalbard, far_north).otherwise(plain)
     p, q = F.radians(lat), F.radians(lon - (zone * 6 - 183))
     c = 2 * math.sqrt(n) / (1 + n)
     t = F.sinh(F.atanh(F.sin(p)) - c * F.atanh(c * F.sin(p)))
