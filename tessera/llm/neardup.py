@@ -313,6 +313,7 @@ def components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         step += 1
         e = put(star(star(e, True), False), step)
+        shared.drop(f"{at}/{step - 1}")  # nothing reads the round before any more
         now = mark(e)
         if now == seen:
             break

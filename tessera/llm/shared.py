@@ -17,6 +17,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_made: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -32,7 +33,14 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def drop_all() -> None:
+    """Deletes all folders that operators have made so far; call it once their results are written."""
+    while _made:
+        drop(_made.pop())
 
 
 def write(df: DataFrame, uri: str) -> None:
