@@ -1,6 +1,7 @@
 """Secret scan: wide candidate search, then a random forest that removes false positives.
 
-Candidates are runs of 16 or more token characters with a digit in them, and, behind a word such as
+Candidates are runs of 16 or more token characters with a digit in them or the beginning of an issued
+key (`AKIA`, `ghp_`, ...), and, behind a word such as
 `password` or `token` with `=` or `:`, runs of 8 or more characters of any kind but white space and
 quotes.  `=`, `:`, `@` and quotes end the first kind, so that `API_KEY=<secret>` and
 `https://user:<secret>@host` are seen without their names.  A forest, trained from labelled
@@ -32,9 +33,11 @@ from pyspark.sql import functions as F
 
 #: Names that a secret is assigned to, and candidates behind them or of themselves (fixed values).
 NAMES = "token|secret|passwd|password|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|secret[_-]?key|credentials?|auth"
+#: Beginnings that issuers give to their keys, which need no digit behind them (fixed values).
+ISSUED = "AKIA|ASIA|gh[oprsu]_|[rs]k_live_|xox[abprs]-|eyJ"
 CANDIDATE = (
     r"(?<=[=:][ ]{0,2}[\"']?)(?<=(?i:" + NAMES + r")[\"']?[ ]{0,2}[=:][ ]{0,2}[\"']?)[^\s\"'`,;<>()\[\]{}]{8,}"
-    r"|(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z+/_.\-]*[0-9])[A-Za-z0-9+/_.\-]{16,}={0,2}"
+    r"|(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z+/_.\-]*[0-9]|" + ISSUED + r")[A-Za-z0-9+/_.\-]{16,}={0,2}"
 )
 TRAIN_FINDINGS, TREES, DEPTH, LEFT, RIGHT = 5000, 15, 6, 48, 24
 #: Words that speak for and against a secret near by (fixed values).
@@ -90,8 +93,8 @@ def labelled_findings(n: int = 1200, seed: int = 7) -> list[tuple[str, str, str,
     names = ["token", "api_key", "secret", "apikey", "access_key", "password", "auth_token", "client_secret", "AWS_SECRET_ACCESS_KEY", "export API_KEY", "db_passwd", "passphrase"]
     quotes = [' = "', "=", ": ", ' = ', ': "', "='", ":"]
     one = lambda x: x if any(c.isdigit() for c in x) else x[:-1] + r.choice(string.digits)
-    long_one = [lambda: one(pick(hexes, 40)), lambda: one(pick(hexes, 32)), lambda: one(pick(hexes, 64)), lambda: one(pick(alnum + "+/", 24, 44)), lambda: one("AKIA" + pick(string.ascii_uppercase + string.digits, 16)), lambda: one("ghp_" + pick(alnum, 36)), lambda: one("sk_live_" + pick(alnum, 24)), lambda: one(pick(alnum + "-_", 20, 40)), lambda: one("eyJ" + pick(alnum, 30) + "." + pick(alnum, 40) + "." + pick(alnum, 30))]
-    short_one = [lambda: pick(alnum, 8, 15), lambda: pick(alnum + "!#$%&*-_", 9, 15), lambda: pick(string.ascii_letters, 10, 15), lambda: pick(hexes, 8, 15)]
+    long_one = [lambda: one(pick(hexes, 40)), lambda: one(pick(hexes, 32)), lambda: one(pick(hexes, 64)), lambda: one(pick(alnum + "+/", 24, 44)), lambda: one("AKIA" + pick(string.ascii_uppercase + string.digits, 16)), lambda: r.choice(["AKIA", "ASIA", "ghp_", "sk_live_"]) + pick(string.ascii_uppercase, 16, 24), lambda: one("ghp_" + pick(alnum, 36)), lambda: one("sk_live_" + pick(alnum, 24)), lambda: one(pick(alnum + "-_", 20, 40)), lambda: one("eyJ" + pick(alnum, 30) + "." + pick(alnum, 40) + "." + pick(alnum, 30))]
+    short_one = [lambda: pick(alnum, 8, 15), lambda: pick(alnum + "!#$%&*-_", 9, 15), lambda: pick(string.ascii_letters, 10, 15), lambda: pick(hexes, 8, 15), lambda: pick(hexes, 14, 28)]
     alike = [
         lambda: (word(5) + " ", f"mail{r.randint(1, 9)}.example.{word()}.com"),
         lambda: (word(2) + "@", f"mail{r.randint(10, 99)}.{word()}.example.com"),
