@@ -219,6 +219,31 @@ def test_toxicity_of_odd_tables(spark):
     assert toxicity.without_toxic(d, none).columns == d.columns and toxicity.without_toxic(d, none).count() == d.count()
 
 
+def test_toxicity_is_fitted_in_bounded_memory_and_alike_by_chunks(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    words = np.array([f"word{k}" for k in range(3000)])
+    toxic = rng.random(1500) < 0.2
+    texts = [" ".join([*rng.choice(words, 200), *["idiot"] * int(q)]) for q in toxic] + [None, ""]
+    toxic = np.append(toxic, [False, True])
+    tracemalloc.start()
+    crf = toxicity.fit(texts, toxic, 3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The driver held more than 300 bytes a token beside its other memory.
+    assert most < 200 * 1500 * 200
+    assert len(list(toxicity.chunks(texts))) > 3
+    for size in (1, 1 << 30):
+        monkeypatch.setattr(toxicity, "FIT_BYTES", size)
+        few = slice(0, None) if size > 1 else slice(1400, None)
+        same = toxicity.fit(texts[few], toxic[few], 3)
+        monkeypatch.undo()
+        want = crf if size > 1 else toxicity.fit(texts[few], toxic[few], 3)
+        assert (same.lexicon == want.lexicon).all() and np.allclose(same.doc, want.doc)
+        assert all(np.allclose(a, b, atol=1e-7) for a, b in zip(same.groups(), want.groups(), strict=True))
+
+
 # 3: Katz
 
 
